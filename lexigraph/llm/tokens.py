@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,20 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory(dict):
+    """Results by text; long texts are worked out each time."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        got = tuple(self.work(text))  # tuples of numbers are no burden to the garbage collector
+        if len(text) <= 64:
+            self[text] = got
+        return got
+
+
 class Encoder:
     """The encoder of one ranks file (token bytes in base64, rank)."""
 
@@ -65,9 +80,9 @@ class Encoder:
         self.automaton.make_automaton()
         self.blank_runs = regex.compile(r"\s ").search
         self.pairs: dict[int, bool] = {}
-        self.edges: dict[str, tuple[int, int]] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.parts = _Memory(self.encode_stretch)
+        self.pieces = _Memory(self.encode_piece)
+        self.words = _Memory(lambda word: self.encode_pieces(" " + word))
 
     @staticmethod
     def _parts(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[int, int]:
@@ -110,23 +125,19 @@ class Encoder:
                     b = part
 
     def stretches(self, piece: str) -> list[str]:
-        """The piece, cut where no merge can cross."""
-        edges, neighbours = self.edges, self.neighbours
-        out, start, before = [], 0, -1
-        for i, c in enumerate(piece):
-            ends = edges.get(c)
-            if ends is None:
-                raw = c.encode("utf-8", "replace")
-                ends = edges[c] = (raw[0], raw[-1] << 8)
-            if before >= 0 and not neighbours[before | ends[0]]:
-                out.append(piece[start:i])
-                start = i
-            before = ends[1]
-        out.append(piece[start:])
-        return out
-
-    def encode_stretch(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "replace").decode("latin-1")
+        """The piece, cut between characters that no merge can join."""
+        raw, joins, n = piece.encode("utf-8", "replace"), self.neighbours, len(piece)
+        if "\u0800" <= min(piece) and max(piece) <= "\uffff":  # ideographs and kana: the border bytes lie at fixed places
+            cuts = [i for i, x, y in zip(range(1, n), raw[2::3], raw[3::3]) if not joins[x << 8 | y]]
+        else:
+            ends = [c.encode("utf-8", "replace") for c in piece]
+            cuts = [i for i in range(1, n) if not joins[ends[i - 1][-1] << 8 | ends[i][0]]]
+        if len(cuts) == n - 1:
+            return list(piece)
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, n])]
+
+    def encode_stretch(self, part: str) -> list[int]:
+        raw = part.encode("utf-8", "replace").decode("latin-1")
         last, size = [0] * (len(raw) + 1), [0] * (len(raw) + 1)
         pairs, width, done = self.pairs, self.size, -1
         for end, (token, length) in self.automaton.iter(raw):  # at each end the longest entry first
@@ -149,37 +160,22 @@ class Encoder:
         return out
 
     def encode_piece(self, piece: str) -> list[int]:
-        pieces, ids = self.pieces, []
-        for part in (piece,) if piece.isascii() else self.stretches(piece):
-            got = pieces.get(part)
-            if got is None:
-                got = self.encode_stretch(part)
-                if len(part) <= 64:
-                    pieces[part] = got
-            ids += got
-        return ids
+        if piece.isascii():
+            return self.encode_stretch(piece)
+        return list(chain.from_iterable(map(self.parts.__getitem__, self.stretches(piece))))
 
     def encode_pieces(self, text: str) -> list[int]:
-        ids = []
-        for piece in self.split(text):
-            ids += self.encode_piece(piece)
-        return ids
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def encode(self, text: str) -> list[int]:
-        for memory, most in ((self.pieces, REMEMBERED), (self.words, REMEMBERED), (self.pairs, 4 * REMEMBERED), (self.edges, REMEMBERED)):
-            if len(memory) > most:
+        for memory in (self.parts, self.pieces, self.words, self.pairs):
+            if len(memory) > REMEMBERED:
                 memory.clear()
         if self.blank_runs(text):  # runs of white space: their last blank belongs to the next word
             return self.encode_pieces(text)
         first, *rest = text.split(" ")
-        ids, words = self.encode_pieces(first), self.words
-        for word in rest:
-            got = words.get(word)
-            if got is None:
-                got = self.encode_pieces(" " + word)
-                if len(word) <= 48:
-                    words[word] = got
-            ids += got
+        ids = self.encode_pieces(first)
+        ids.extend(chain.from_iterable(map(self.words.__getitem__, rest)))
         return ids
 
 
