@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import packing, survivorship, tokens
+from lexigraph.llm import names, packing, survivorship, tokens, variants
 from lexigraph.session import cut, table
 
 #: Container size of the packing queries, in tokens.
@@ -56,7 +56,50 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill}
+def _slug_form(key):
+    """The form that the letters of a slug tell by their ending."""
+    return F.concat(F.when(key.rlike("xantibody(black|second)*$"), "x").otherwise(""), F.when(key.rlike("black(xantibody|second)*$"), "black").otherwise(""))
+
+
+def _creature_names(spark: SparkSession, sf_dir: str, simplify: dict[int, str]) -> tuple[DataFrame, dict[str, str]]:
+    """(key, form, entity, rank) of all names of all creatures, and the learned ideographs."""
+    d = table(spark, sf_dir, "digimon").select("id", "canonical_slug", "name_en", "name_ja", "name_zh_cn").withColumn("_key", survivorship.group_key(F.col("canonical_slug")))
+    groups = d.where("_key is not null").groupBy("_key").agg(F.min("id").alias("entity"))
+    d = d.join(groups, "_key")
+    han = names.learn_han(d, "_key", "name_zh_cn", simplify)
+    bare_slug = F.regexp_replace("_key", "(xantibody|black|second)+$", "")
+    told = [F.when(survivorship.tells(F.col(c)), F.col(c)) for c in ("name_en", "name_ja", "name_zh_cn")]
+    own = d.select("entity", "_key", F.explode(F.array_compact(F.array(bare_slug, *told))).alias("name"), F.lit(True).alias("own"))
+    # spellings that are linked already carry the nicknames; the form is the creature's
+    ids = d.select(F.col("id").alias("digimon_id"), "entity", "_key")
+    linked = table(spark, sf_dir, "digimon_alias").where("digimon_id is not null and alias is not null").select("digimon_id", "alias")
+    linked = linked.join(ids, "digimon_id").select("entity", "_key", F.col("alias").alias("name"), F.lit(False).alias("own"))
+    noted = table(spark, sf_dir, "manual_aliases").where("canonical_slug is not null and alias is not null").select(survivorship.group_key(F.col("canonical_slug")).alias("_key"), "alias")
+    noted = noted.join(groups, "_key").select("entity", "_key", F.col("alias").alias("name"), F.lit(False).alias("own"))
+    rows = own.unionByName(linked).unionByName(noted).withColumn("r", names.read_column(F.col("name"), simplify, han))
+    keys = F.explode(F.array_distinct(F.array("r.key", "r.other")))
+    namesake = F.col("_key").rlike("second$").cast("int")
+    rows = rows.where("r.key <> ''").select(keys.alias("key"), _slug_form(F.col("_key")).alias("form"), "entity", (F.when(F.col("own"), 0).otherwise(2) + namesake).alias("rank"))
+    return rows.groupBy("key", "form", "entity").agg(F.min("rank").alias("rank")), han
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The creature of every unlinked spelling."""
+    simplify = names.simplified_table(spark)
+    centres, han = _creature_names(spark, sf_dir, simplify)
+    centres = cut(centres)
+    a = table(spark, sf_dir, "digimon_alias").where("digimon_id is null").select(F.lit("digimon_alias").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
+    m = table(spark, sf_dir, "manual_aliases").where("canonical_slug is null").select(F.lit("manual_aliases").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
+    rows = a.unionByName(m).where("alias is not null").withColumn("r", names.read_column(F.col("alias"), simplify, han))
+    # a row of ideographs may also be read with two neighbours swapped, at a discount
+    read = F.concat(F.array(F.struct(F.lit(0.0).alias("d"), F.col("r.key").alias("key"))), F.transform("r.swaps", lambda k: F.struct(F.lit(0.2).alias("d"), k.alias("key"))))
+    rows = cut(rows.where("r.key <> ''").select("alias_table", "alias_id", "r.form", F.explode(read).alias("k")).select("alias_table", "alias_id", "form", "k.d", "k.key"))
+    links = variants.stars(rows.select("key", "form").distinct(), centres)
+    best = F.max_by("entity", F.struct((F.col("similarity") - F.col("d")).alias("s"), (-F.col("entity")).alias("e")))
+    return rows.join(links, ["key", "form"]).groupBy("alias_table", "alias_id").agg(best.alias("digimon_id"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill}
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in survivorship.PLACEHOLDERS)
 _FILLER = ", ".join(f"'{x}'" for x in survivorship.FILLER_WORDS)
