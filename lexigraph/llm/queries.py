@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import names, packing, survivorship, tokens, variants
-from lexigraph.session import cut, table
+from lexigraph.llm import canonical, names, packing, survivorship, tokens, variants
+from lexigraph.session import cut, sized_join, table
 
 #: Container size of the packing queries, in tokens.
 CAPACITY = 2048
 
 
+def _free_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, row_id, position, vocabulary, value) of the values to be mapped."""
+    d = table(spark, sf_dir, "digimon")
+    pair = lambda field, vocabulary: F.struct(F.lit(field).alias("field"), F.lit(vocabulary).alias("vocabulary"), F.col(field).alias("value"))
+    a = d.select(F.col("id").alias("row_id"), F.lit(0).alias("position"), F.explode(F.array(pair("level_raw", "level"), pair("attribute_raw", "attribute"))).alias("f"))
+    a = a.select("f.field", "row_id", "position", "f.vocabulary", "f.value")
+    s = table(spark, sf_dir, "source_digimon").select(F.col("ordinal").alias("row_id"), F.posexplode("types").alias("position", "value"))
+    b = s.select(F.lit("types").alias("field"), "row_id", "position", F.lit("types").alias("vocabulary"), "value")
+    rows = a.unionByName(b).where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}]*$"))
+    listed = F.broadcast(table(spark, sf_dir, "canonical_term").select("vocabulary", F.col("canonical").alias("value")))  # a fixed list
+    return rows.join(listed, ["vocabulary", "value"], "left_anti")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry meant by every free-entered value, 0 for none."""
+    simplify = names.simplified_table(spark)
+    docs = canonical.labels(table(spark, sf_dir, "canonical_term"), "term_id", "vocabulary", ["canonical", "label_en", "other_en", "label_zh", "label_ja"], simplify)
+    rows = _free_values(spark, sf_dir)
+    mapped = cut(canonical.map_values(rows, docs, simplify))
+    return sized_join(rows, mapped, ["vocabulary", "value"]).select("field", "row_id", "position", "term_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with the number of rows."""
+    simplify = names.simplified_table(spark)
+    docs = canonical.labels(table(spark, sf_dir, "canonical_term"), "term_id", "vocabulary", ["canonical", "label_en", "other_en", "label_zh", "label_ja"], simplify)
+    counts = _free_values(spark, sf_dir).groupBy("vocabulary", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(canonical.map_values(counts, docs, simplify).where("term_id = 0"), ["vocabulary", "value"]).select("vocabulary", "value", "n_rows")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record per group and field."""
     d = table(spark, sf_dir, "digimon")
@@ -99,7 +129,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(links, ["key", "form"]).groupBy("alias_table", "alias_id").agg(best.alias("digimon_id"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill}
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in survivorship.PLACEHOLDERS)
 _FILLER = ", ".join(f"'{x}'" for x in survivorship.FILLER_WORDS)
