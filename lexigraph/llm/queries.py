@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import canonical, names, packing, survivorship, tokens, variants
+from lexigraph.llm import canonical, names, packing, residue, survivorship, tokens, variants
 from lexigraph.session import cut, sized_join, table
 
 #: Container size of the packing queries, in tokens.
@@ -129,7 +129,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(links, ["key", "form"]).groupBy("alias_table", "alias_id").agg(best.alias("digimon_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue, filler, error messages or notices about scripts."""
+    return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found}
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in survivorship.PLACEHOLDERS)
 _FILLER = ", ".join(f"'{x}'" for x in survivorship.FILLER_WORDS)
