@@ -29,7 +29,7 @@ KANA_ROWS = {
 #: The kana of a consonant that closes a syllable.
 KANA_ENDS = {"b": "ブ", "d": "ッド", "f": "フ", "g": "グ", "k": "ック", "l": "ル", "m": "ム", "n": "ン", "p": "ップ", "r": "ー", "s": "ス", "t": "ット", "x": "ックス", "z": "ッズ"}
 #: Marks of forms of their own.
-X_MARK = r"(?i)x[\s\-_]*anti[\s\-]*body|(?<![A-Za-z])x[\s\-_]*ab(?![A-Za-z])|x[\s\-]*抗[体體]|(?<![A-Za-z])x(?![A-Za-z])|エックス抗体"
+X_MARK = r"(?i)x[\s\-_]*anti(?:[\s\-]*body)?(?![a-z])|(?<![A-Za-z])x[\s\-_]*ab(?![A-Za-z])|x[\s\-]*抗[体體]|(?<![A-Za-z])x(?![A-Za-z])|エックス抗体"
 BLACK_MARK = r"(?i)(?<![a-z])(black|blk)\.?(?:[\s,]*ver(?:sion|\.)?)?(?![a-z])|^ブラック|ブラック$|[(]黑[)]|黑色?版|^黑"
 
 _BLANKS = re.compile(r"[^\w]+|_+")

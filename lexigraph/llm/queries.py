@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigraph.llm import canonical, names, packing, residue, survivorship, tokens, variants
+from lexigraph.llm import canonical, matching, names, packing, residue, survivorship, tokens, variants
 from lexigraph.session import cut, sized_join, table
 
 #: Container size of the packing queries, in tokens.
@@ -134,7 +134,64 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found}
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal_a, ordinal_b, confidence) of all candidate pairs of rows."""
+    simplify = names.simplified_table(spark)
+    s = table(spark, sf_dir, "source_digimon").where("source is not null and ordinal is not null")
+    s = s.select("source", F.coalesce("source_id", F.concat(F.lit("#"), F.col("ordinal").cast("string"))).alias("sid"), "ordinal", "names", "level", "level_raw", "attribute", "attribute_raw", "x_antibody")
+    # parsed values, else the raw one if it is a label of the fixed reference list
+    terms = canonical.labels(table(spark, sf_dir, "canonical_term"), "term_id", "vocabulary", ["canonical", "label_en", "other_en", "label_zh", "label_ja"], simplify)
+    known = table(spark, sf_dir, "canonical_term").select("term_id", "canonical")
+    listed = cut(terms.where("size = 1").join(known, "term_id").select("vocabulary", "token", "canonical").distinct())
+    for field in ("level", "attribute"):
+        said = listed.where(F.col("vocabulary") == field).select(F.col("token").alias(f"{field}_token"), F.col("canonical").alias(f"{field}_said"))
+        s = s.withColumn(f"{field}_token", canonical.squash(canonical.normal(F.col(f"{field}_raw"), simplify)))
+        s = sized_join(s, said, f"{field}_token", "left")
+        value = F.coalesce(F.when(F.col(field) != "unknown", F.col(field)), F.col(f"{field}_said"))
+        s = s.withColumn(field, F.when(value != "unknown", value)).drop(f"{field}_raw", f"{field}_token", f"{field}_said")
+    # ids that spell a name; what follows the name is a mark
+    spelled_id = F.regexp_replace("sid", r"(?i)[ _]*\(page \d+\)", "")
+    name_of_id = F.regexp_extract(spelled_id, r"(?i)^([^\d]{4,}mon)(?![a-z])", 1)
+    mark = F.lower(F.regexp_replace(F.expr("substring(spelled_id, length(name_of_id) + 1)"), r"[^A-Za-z0-9]", ""))
+    s = s.withColumn("spelled_id", spelled_id).withColumn("name_of_id", name_of_id).withColumn("mark", F.when(F.col("name_of_id") != "", mark))
+    told = F.filter("names", lambda n: F.coalesce(n["matchable"], F.lit(True)) & survivorship.tells(n["value"]))
+    s = cut(s.withColumn("told", F.transform(told, lambda n: F.struct(n["value"].alias("value"), n["language"].alias("language")))).drop("names"))
+    # ideographs learned from rows that also spell a Latin name
+    latin = F.concat(F.transform(F.filter("told", lambda n: n["language"] == "en"), lambda n: n["value"]), F.array(F.col("name_of_id")))
+    han = F.transform(F.filter("told", lambda n: n["language"].startswith("zh")), lambda n: n["value"])
+    both = s.select(F.explode(latin).alias("latin"), han.alias("han")).select("latin", F.explode("han").alias("han")).where("latin <> ''")
+    table_of_han = names.learn_han(both, "latin", "han", simplify)
+    node = F.min("ordinal").over(Window.partitionBy("source", "sid"))
+    s = cut(s.withColumn("node", node))
+    all_names = F.filter(F.concat(F.transform("told", lambda n: n["value"]), F.array(F.regexp_replace("name_of_id", r"-", ""))), lambda v: v != "")
+    read = s.select("node", "source", "mark", "x_antibody", F.explode(F.array_distinct(all_names)).alias("name")).withColumn("r", names.read_column(F.col("name"), simplify, table_of_han)).where("r.key <> ''")
+    x = F.col("r.form").contains("x") | F.coalesce(F.col("x_antibody"), F.lit(False)) | F.col("mark").rlike("^x")
+    black = F.col("r.form").contains("black") | F.col("mark").rlike("^(black|blk|hei)")
+    forms = read.groupBy("node").agg(F.concat(F.when(F.bool_or(F.coalesce(x, F.lit(False))), "x").otherwise(""), F.when(F.bool_or(F.coalesce(black, F.lit(False))), "black").otherwise("")).alias("form"))
+    keys = read.select("node", "source", F.explode(F.array_distinct(F.array("r.key", "r.other"))).alias("key")).distinct()
+    spelled = cut(keys.join(forms, "node"))
+    second = F.max(F.when(F.col("mark").rlike("^(2nd|second|b)$"), 1).when(F.col("mark").isNotNull(), 0))
+    nodes = cut(s.groupBy("node").agg(F.min("source").alias("source"), F.max("level").alias("level"), F.max("attribute").alias("attribute"), second.alias("second")))
+    pairs = cut(matching.candidate_nodes(spelled))
+    beliefs = cut(matching.propagate(cut(matching.log_odds(pairs, nodes))))
+    rows = s.select("node", "ordinal").distinct()
+    a = rows.select(F.col("node").alias("a"), F.col("ordinal").alias("o_a"))
+    b = rows.select(F.col("node").alias("b"), F.col("ordinal").alias("o_b"))
+    j = beliefs.join(a, "a").join(b, "b")
+    return j.select(F.least("o_a", "o_b").alias("ordinal_a"), F.greatest("o_a", "o_b").alias("ordinal_b"), "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of different sources that describe the same creature."""
+    return _matched(spark, sf_dir).where("confidence > 0.5").select("ordinal_a", "ordinal_b")
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with their marginal match probability."""
+    return _matched(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found}
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in survivorship.PLACEHOLDERS)
 _FILLER = ", ".join(f"'{x}'" for x in survivorship.FILLER_WORDS)
