@@ -102,12 +102,16 @@ class NameReader:
         s = unicodedata.normalize("NFKC", value).translate(self.simplify)
         return "".join(chr(ord(c) + 96) if "ぁ" <= c <= "ゖ" else c for c in s).strip()
 
-    def read(self, value: str | None) -> tuple[str, str, str, str, list[str]]:
-        """(key, other order, form, script, keys with two neighbouring ideographs swapped); script is 'latin', 'kana', 'han' or ''."""
+    def read(self, value: str | None) -> tuple[str, str, str, str, list[str], str]:
+        """(key, other order, form, script, keys with two neighbouring ideographs swapped, ideographs as they stand).
+
+        The script is 'latin', 'kana', 'han' or ''.
+        """
         if value is None:
-            return "", "", "", "", []
+            return "", "", "", "", [], ""
         s = self.normal(value)
         swaps: list[str] = []
+        text = ""
         script = "han" if len(_HAN.findall(_X.sub("", s))) >= 2 else "kana" if _KANA.search(s) else "latin"
         form = ""
         if script == "latin":
@@ -137,7 +141,7 @@ class NameReader:
             parts = [self.han.get(c, c) for c in text]
             key = other = fold("".join(parts))
             swaps = [fold("".join([*parts[:i], parts[i + 1], parts[i], *parts[i + 2 :]])) for i in range(min(len(parts), 12) - 1)]
-        return key, other, form, script if key else "", swaps
+        return key, other, form, script if key else "", swaps, text
 
     def signs(self, value: str | None) -> list[str]:
         """The ideographs of a name without marks and the word for creature."""
@@ -160,11 +164,11 @@ def simplified_table(spark: SparkSession) -> dict[int, str]:
     return {a: b for a, b in zip(codes, got) if chr(a) != b}
 
 
-READ_TYPE = "key string, other string, form string, script string, swaps array<string>"
+READ_TYPE = "key string, other string, form string, script string, swaps array<string>, signs string"
 
 
 def read_column(value: Column, simplify: dict[int, str], han: dict[str, str] | None = None) -> Column:
-    """A struct (key, other, form, script, swaps) of a name."""
+    """A struct (key, other, form, script, swaps, signs) of a name."""
 
     @F.pandas_udf(READ_TYPE)
     def read(values: pd.Series) -> pd.DataFrame:
@@ -175,7 +179,7 @@ def read_column(value: Column, simplify: dict[int, str], han: dict[str, str] | N
             if got is None:
                 got = seen[v] = reader.read(v)
             rows.append(got)
-        return pd.DataFrame(rows, columns=["key", "other", "form", "script", "swaps"])
+        return pd.DataFrame(rows, columns=["key", "other", "form", "script", "swaps", "signs"])
 
     return read(value)
 

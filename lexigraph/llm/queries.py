@@ -107,7 +107,8 @@ def _creature_names(spark: SparkSession, sf_dir: str, simplify: dict[int, str])
     noted = table(spark, sf_dir, "manual_aliases").where("canonical_slug is not null and alias is not null").select(survivorship.group_key(F.col("canonical_slug")).alias("_key"), "alias")
     noted = noted.join(groups, "_key").select("entity", "_key", F.col("alias").alias("name"), F.lit(False).alias("own"))
     rows = own.unionByName(linked).unionByName(noted).withColumn("r", names.read_column(F.col("name"), simplify, han))
-    keys = F.explode(F.array_distinct(F.array("r.key", "r.other")))
+    # namesakes are written with other ideographs, so these count as they stand, too
+    keys = F.explode(F.array_distinct(F.filter(F.array("r.key", "r.other", "r.signs"), lambda k: k != "")))
     namesake = F.col("_key").rlike("second$").cast("int")
     rows = rows.where("r.key <> ''").select(keys.alias("key"), _slug_form(F.col("_key")).alias("form"), "entity", (F.when(F.col("own"), 0).otherwise(2) + namesake).alias("rank"))
     return rows.groupBy("key", "form", "entity").agg(F.min("rank").alias("rank")), han
@@ -122,7 +123,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "manual_aliases").where("canonical_slug is null").select(F.lit("manual_aliases").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
     rows = a.unionByName(m).where("alias is not null").withColumn("r", names.read_column(F.col("alias"), simplify, han))
     # a row of ideographs may also be read with two neighbours swapped, at a discount
-    read = F.concat(F.array(F.struct(F.lit(0.0).alias("d"), F.col("r.key").alias("key"))), F.transform("r.swaps", lambda k: F.struct(F.lit(0.2).alias("d"), k.alias("key"))))
+    reading = lambda d, k: F.struct(F.lit(d).alias("d"), k.alias("key"))
+    read = F.concat(F.array(reading(0.0, F.col("r.signs")), F.when(F.col("r.signs") == "", reading(0.0, F.col("r.key"))).otherwise(reading(0.05, F.col("r.key")))), F.transform("r.swaps", lambda k: reading(0.2, k)))
+    read = F.filter(read, lambda k: k["key"] != "")
     rows = cut(rows.where("r.key <> ''").select("alias_table", "alias_id", "r.form", F.explode(read).alias("k")).select("alias_table", "alias_id", "form", "k.d", "k.key"))
     links = variants.stars(rows.select("key", "form").distinct(), centres)
     best = F.max_by("entity", F.struct((F.col("similarity") - F.col("d")).alias("s"), (-F.col("entity")).alias("e")))
