@@ -181,24 +181,24 @@ def read_html(html: str | None) -> dict:
     return {"title": p.title.strip(), "links": p.links, "rows": rows, "text": re.sub(r"\s+", " ", " ".join(p.text)).strip()}
 
 
-@F.pandas_udf("text string, unresolved boolean")
-def _clean_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([clean(t) for t in texts], columns=["text", "unresolved"])
-
-
-@F.pandas_udf("title string, links array<string>, rows array<array<string>>, text string")
-def _html_udf(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_html(p) for p in pages], columns=["title", "links", "rows", "text"])
-
-
 def clean_markup(c: Column) -> Column:
     """struct(text, unresolved) of wiki markup."""
-    return _clean_udf(c)
+
+    @F.pandas_udf("text string, unresolved boolean")
+    def cleaned(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clean(t) for t in texts], columns=["text", "unresolved"])
+
+    return cleaned(c)
 
 
 def parse_html(c: Column) -> Column:
     """struct(title, links, rows, text) of an HTML page."""
-    return _html_udf(c)
+
+    @F.pandas_udf("title string, links array<string>, rows array<array<string>>, text string")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_html(p) for p in pages], columns=["title", "links", "rows", "text"])
+
+    return read(c)
 
 
 def parse_infobox(c: Column, name: str) -> Column:
