@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigraph.plans import general
+from lexigraph.plans import general, reference
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+SQL = {**general.SQL, **reference.SQL}
