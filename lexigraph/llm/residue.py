@@ -16,6 +16,8 @@ no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,16 +30,23 @@ FILLER_WORDS = (
     "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|nulla|nunc|justo|massa|porta|odio|"
     "pede|risus|quam|felis|velit|vitae|augue|arcu|urna|orci|lacus|donec|fusce|vestibulum|mauris|pellentesque|asdf|asdfgh|jkl|qwerty|blah"
 )
-#: What messages about scripts, errors and filler are recognised by.
-CUES = (
-    r"(?i)javascript|\bjs\b|script|cookie|browser|\berror|exception|traceback|keyerror|\bfatal\b|warning:|undefined|\bdenied\b|forbidden|unauthori[sz]ed|blocked|"
-    r"not found|bad request|bad gateway|time-?out|timed out|unavailable|maintenance|too many requests|expired|redirected|looking for|verify you|human|"
-    r"try again|reload|database|upstream|server|something (broke|went)|nosuchkey|accessdenied|\bat [\w.$]+\([\w.]+:\d+\)|file \"|"
-    r"sample text|placeholder|your \w+ here|goes here|copy to come|coming soon|under construction|test test|text text|"
-    r"lorem|ipsum|dolor|asdf|qwerty|blah|\b(amet|elit|nulla|nunc|pede|risus|felis|velit|augue|arcu|urna|orci|lacus)\b|"
-    r"脚本|启用|浏览器|错误|不存在|服务器|数据库|登录|验证|频繁|维护|删除|权限|测试|占位|排版|抱歉|稍后|"
-    r"スクリプト|ブラウザ|エラー|メンテナンス|見つかり|アクセス|有効|権限|ダミー|サーバ|セッション|再度|テスト|準備中|工事中"
-)
+#: Words and signs one of which is in every message that can be residue; compared without case.
+CUE_WORDS = (
+    "javascript", "script", "cookie", " js ", "not supported", "unsupported", "out of date", "checking your", "verify", "human",
+    "error", "exception", "traceback", "java.", ".java:", "file \"", "undefined", "fatal", "uncaught", "segmentation", "<code>", "nosuchkey",
+    "not found", "forbidden", "bad request", "unauthori", "bad gateway", "unavailable", "time-out", "timeout", "timed out", "too many requests",
+    "denied", "blocked", "expired", "in again", "maintenance", "connect to the", "did not answer", "did not respond", "something broke", "something went",
+    "has moved", "redirected", "looking for", "requested", "try again", "permission", "reload", "refresh",
+    "sample text", "placeholder", "headline here", "story here", "text here", "title here", "content here", "name here", "copy to come", "replace this",
+    "test test", "text text", "under construction",
+    "lorem", "ipsum", "dolor", "amet", "elit", "nulla", "nunc", "justo", "massa", "porta", "odio", "pede", "risus", "quam", "felis", "velit", "vitae", "augue",
+    "arcu", "urna", "orci", "lacus", "tempor", "magna", "eiusmod", "incididunt", "donec", "fusce", "vestibulum", "mauris", "pellentesque", "asdf", "qwerty", "blah",
+    "脚本", "启用", "浏览器", "不存在", "找不到", "删除", "无法", "服务器", "错误代码", "频繁", "验证", "数据库", "过期", "登录", "权限", "维护", "稍后", "分钟后",
+    "检查地址", "联系管理员", "测试测试", "占位", "排版", "此处", "待补充", "待填写",
+    "スクリプト", "ブラウザ", "クッキー", "見つかり", "アクセス", "再度", "もう一度", "メンテナンス", "有効", "権限", "エラー", "サーバ", "ログイン", "ダミー", "テストテスト", "ここに", "確認するために",
+    "{{", "{%", "<%", "${", "#{", "%(", "%s", "%%", "[[", "@@", "__", "$", "&lt;", "{0", "{1", "{2", "{3", "{4", "{5", "{6", "{7", "{8", "{9", " tbd]", " tba]", " here]", "here>",
+    "[insert", "[your", "[add", "（此", "（在此", "（请在此", "todo:", "fixme",
+)
 #: Unresolved slots of common template languages.
 SLOTS = (
     r"\{\{\{?[^{}\n]{0,80}\}?\}\}|\{%[^%\n]{0,80}%\}|<%[=-]?[^%\n]{0,80}%>|[$#]\{[^{}\n]{0,60}\}|%\([A-Za-z_]{1,40}\)[sd]|(?<![\w%])%s|%s(?![A-Za-z])|\[\[[A-Z][A-Z_ ]{1,40}\]\]|"
@@ -79,9 +88,46 @@ _MASKS = (
 )
 
 
-def messages(text: Column) -> Column:
-    """The lines and sentences of a text."""
-    return F.split(text, r"[\r\n]+|(?<=[.!?…])\s+|(?<=[。！？])")
+_BORDER = re.compile(r"[\r\n]+|(?<=[.!?…])\s+|(?<=[。！？])")
+
+
+def _lower(text: str) -> str:
+    """Lower case, sign by sign, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in CUE_WORDS:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def cue_messages(text: str | None) -> list[str]:
+    """The lines and sentences of a text that hold a cue, in one pass over the text."""
+    if not text:
+        return []
+    at = sorted({end - n + 1 for end, n in _automaton().iter(_lower(text))})
+    if not at:
+        return []
+    borders = [0, *(m.end() for m in _BORDER.finditer(text)), len(text)]
+    picked = sorted({bisect_right(borders, i) - 1 for i in at})
+    return [text[borders[i] : borders[i + 1]].strip() for i in picked if i + 1 < len(borders)]
+
+
+def cue_messages_column(text: Column) -> Column:
+    """``cue_messages`` as array<string>."""
+
+    @F.pandas_udf("array<string>")
+    def pick(texts: pd.Series) -> pd.Series:
+        return texts.map(cue_messages)
+
+    return pick(text)
 
 
 def masked(message: Column) -> Column:
@@ -166,15 +212,13 @@ def has_slot(message: Column) -> Column:
 
 def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id): documents any part of which is residue, each once."""
-    # whole texts are tested first, so that most are never cut into messages
-    marked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(text).rlike(CUES).alias("c"), F.col(text).rlike(SLOTS).alias("s")).where("c or s")
-    parts = marked.select("doc_id", F.explode(F.filter(messages(F.col("text")), lambda m: m.rlike(CUES) | m.rlike(SLOTS))).alias("m"))
-    parts = parts.select("doc_id", has_slot(F.col("m")).alias("slot"), F.col("m").rlike(CUES).alias("cue"), masked(F.col("m")).alias("message"))
-    parts = cut(parts.where("slot or cue"))
+    told = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    parts = told.select("doc_id", F.explode(cue_messages_column(F.col("text"))).alias("m"))
+    parts = cut(parts.select("doc_id", has_slot(F.col("m")).alias("slot"), masked(F.col("m")).alias("message")))
     slots = parts.where("slot").select("doc_id")
-    told = parts.where("cue").groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+    told = parts.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
     mined = cut(templates(told))
     guilty = cut(mined.select("template").distinct().where(verdict(F.col("template"))))
     judged = sized_join(mined, guilty, "template", "left_semi").select("message")
-    bad = sized_join(parts.where("cue").select("doc_id", "message"), cut(judged), "message", "left_semi").select("doc_id")
+    bad = sized_join(parts.select("doc_id", "message"), cut(judged), "message", "left_semi").select("doc_id")
     return slots.unionByName(bad).distinct()
