@@ -92,7 +92,9 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     exact = exact.select("vocabulary", "token", F.col("token").alias("known"), F.lit(1.0).alias("sim"))
     rest = tokens.join(F.broadcast(known), (tokens["vocabulary"] == known["vocabulary"]) & (tokens["token"] == known["known"]), "left_anti")
     # deletion neighbours; the reference list is fixed and small, so its variants are broadcast after a count in sized_join
-    a = rest.select("vocabulary", "token", F.explode(_neighbours(F.col("token"), _edits(F.col("token")))).alias("v"))
+    # a token longer than every known one by more than the edits cannot be one of them
+    longest = known.agg(F.max(F.length("known"))).first()[0] or 0
+    a = rest.where(F.length("token") <= longest + 2).select("vocabulary", "token", F.explode(_neighbours(F.col("token"), _edits(F.col("token")))).alias("v"))
     b = cut(known.select("vocabulary", "known", F.explode(_neighbours(F.col("known"), _edits(F.col("known")))).alias("v")))
     near = sized_join(a, b, ["vocabulary", "v"]).select("vocabulary", "token", "known").distinct()
     swapped = (F.length("token") == F.length("known")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("known", "")))

@@ -209,18 +209,25 @@ def learn_han(pairs: DataFrame, latin: str, han: str, simplify: dict[int, str],
 
 
 def edit_cost(typed: str, name: str, most: float = 4.0) -> float:
-    """Weighted edits from a name to its typed form: a vowel left out 0.5, all else (also a swap of neighbours) 1."""
+    """Weighted edits from a name to its typed form: a vowel left out 0.5, all else (also a swap of neighbours) 1.
+
+    Beyond ``most`` the result is only known to be greater; the work is linear in the length for a given ``most``.
+    """
     n, m = len(typed), len(name)
-    if abs(n - m) > 2 * most + 1:
-        return most + 1
-    before2: list[float] = []
+    width, far = int(2 * most) + 1, most + 1
+    if abs(n - m) > width:
+        return far
     drop = [0.5 if c in "aeiou" else 1.0 for c in name]
+    before2: list[float] = []
     before = [0.0]
     for j in range(m):
-        before.append(before[-1] + drop[j])
+        before.append(before[-1] + drop[j] if j < width else far)
     for i in range(1, n + 1):
-        t, row = typed[i - 1], [float(i)]
-        for j in range(1, m + 1):
+        t, row = typed[i - 1], [far] * (m + 1)
+        low, high = max(1, i - width), min(m, i + width)
+        if i <= width:
+            row[0] = float(i)
+        for j in range(low, high + 1):
             c = name[j - 1]
             best = before[j - 1] + (t != c)
             x = row[j - 1] + drop[j - 1]
@@ -233,8 +240,8 @@ def edit_cost(typed: str, name: str, most: float = 4.0) -> float:
                 x = before2[j - 2] + 1
                 if x < best:
                     best = x
-            row.append(best)
-        if min(row) > most:
-            return most + 1
+            row[j] = best
+        if min(row[low - 1 : high + 1]) > most:
+            return far
         before2, before = before, row
-    return before[m]
+    return min(before[m], far)

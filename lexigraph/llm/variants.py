@@ -54,9 +54,12 @@ def band_column(key, rows: int, bands: int, q: int = 3, seed: int = 7):
         with np.errstate(over="ignore"):
             for k in keys:
                 g = np.fromiter((zlib.crc32(x.encode()) for x in qgrams(k, q)), dtype=np.uint64)
-                # multiply-shift on the upper half: the low bits of the product are biased
-                h = ((g[:, None] * a[None, :] + b[None, :]) >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
-                low = h.min(axis=0).reshape(bands, rows)
+                low = np.full(rows * bands, 0xFFFFFFFF, dtype=np.uint64)
+                for start in range(0, len(g), 4096):  # long names in blocks
+                    # multiply-shift on the upper half: the low bits of the product are biased
+                    h = ((g[start : start + 4096, None] * a[None, :] + b[None, :]) >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
+                    low = np.minimum(low, h.min(axis=0))
+                low = low.reshape(bands, rows)
                 v = (low * mix[None, :]).sum(axis=1) ^ (np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 out.append(v.view(np.int64))
         return pd.Series(out)
@@ -109,8 +112,9 @@ def stars(spellings: DataFrame, centres: DataFrame, threshold: float = 0.72) ->
     """
     pairs = candidate_pairs(spellings.select("key").distinct(), centres.select("key").distinct())
     # a plain bound before the check: a third of the name may be missing or wrong, all its vowels among that
-    close = F.levenshtein("left_key", "right_key") <= F.greatest(F.lit(1), F.ceil(F.length("right_key") / 3))
-    pairs = pairs.where(close).withColumn("similarity", similarity_column(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= threshold)
+    # (eight plain edits are the most that four weighted ones can be)
+    close = F.levenshtein("left_key", "right_key", 8)
+    pairs = pairs.where((close >= 0) & (close <= F.greatest(F.lit(1), F.ceil(F.length("right_key") / 3)))).withColumn("similarity", similarity_column(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= threshold)
     joined = spellings.join(pairs, spellings["key"] == pairs["left_key"]).select("key", "form", "right_key", "similarity")
     c = centres.select(F.col("key").alias("right_key"), "form", "entity", "rank")
     ranked = joined.join(c, ["right_key", "form"])
