@@ -217,31 +217,38 @@ def edit_cost(typed: str, name: str, most: float = 4.0) -> float:
     width, far = int(2 * most) + 1, most + 1
     if abs(n - m) > width:
         return far
-    drop = [0.5 if c in "aeiou" else 1.0 for c in name]
-    before2: list[float] = []
-    before = [0.0]
-    for j in range(m):
-        before.append(before[-1] + drop[j] if j < width else far)
+    if typed == name:
+        return 0.0
+    # rows hold only the band around the diagonal: place k of row i is column i + k - width
+    size = 2 * width + 1
+    before2, before = [far] * size, [far] * size
+    before[width] = 0.0
+    for j in range(1, min(m, width) + 1):
+        before[width + j] = before[width + j - 1] + (0.5 if name[j - 1] in "aeiou" else 1.0)
     for i in range(1, n + 1):
-        t, row = typed[i - 1], [far] * (m + 1)
-        low, high = max(1, i - width), min(m, i + width)
+        t, row, least = typed[i - 1], [far] * size, far
         if i <= width:
-            row[0] = float(i)
-        for j in range(low, high + 1):
+            row[width - i] = least = float(i)
+        for k in range(max(0, width - i + 1), min(size - 1, m - i + width) + 1):
+            j = i + k - width
             c = name[j - 1]
-            best = before[j - 1] + (t != c)
-            x = row[j - 1] + drop[j - 1]
-            if x < best:
-                best = x
-            x = before[j] + 1
-            if x < best:
-                best = x
+            best = before[k] + (t != c)
+            if k:
+                x = row[k - 1] + (0.5 if c in "aeiou" else 1.0)
+                if x < best:
+                    best = x
+            if k + 1 < size:
+                x = before[k + 1] + 1
+                if x < best:
+                    best = x
             if i > 1 and j > 1 and t == name[j - 2] and typed[i - 2] == c and t != c:
-                x = before2[j - 2] + 1
+                x = before2[k] + 1
                 if x < best:
                     best = x
-            row[j] = best
-        if min(row[low - 1 : high + 1]) > most:
+            row[k] = best
+            if best < least:
+                least = best
+        if least > most:
             return far
         before2, before = before, row
-    return min(before[m], far)
+    return min(before[m - n + width], far)

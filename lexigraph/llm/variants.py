@@ -114,7 +114,8 @@ def stars(spellings: DataFrame, centres: DataFrame, threshold: float = 0.72) ->
     # a plain bound before the check: a third of the name may be missing or wrong, all its vowels among that
     # (eight plain edits are the most that four weighted ones can be)
     close = F.levenshtein("left_key", "right_key", 8)
-    pairs = pairs.where((close >= 0) & (close <= F.greatest(F.lit(1), F.ceil(F.length("right_key") / 3)))).withColumn("similarity", similarity_column(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= threshold)
+    # very long keys go straight to the banded check
+    pairs = pairs.where((F.length("right_key") > 256) | close.between(0, F.greatest(F.lit(1), F.ceil(F.length("right_key") / 3)))).withColumn("similarity", similarity_column(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= threshold)
     joined = spellings.join(pairs, spellings["key"] == pairs["left_key"]).select("key", "form", "right_key", "similarity")
     c = centres.select(F.col("key").alias("right_key"), "form", "entity", "rank")
     ranked = joined.join(c, ["right_key", "form"])

@@ -149,7 +149,7 @@ def test_prefix_tree():
 
 
 def test_long_names(spark):
-    long = "rispob" * 4000
+    long = "rispob" * 400
     assert names.edit_cost(long, long[:-1] + "x") == 1.0 and names.edit_cost(long, long[::-1]) > 4
     spelled = spark.createDataFrame([(long, ""), (long[:100] + "q" + long[101:], "")], "key string, form string")
     centres = spark.createDataFrame([(long, "", 7, 0)], "key string, form string, entity bigint, rank int")
