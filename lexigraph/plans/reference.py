@@ -219,9 +219,9 @@ def _(s, d):
     return p.select("p_partkey", F.when(k > 0, F.concat_ws("-", "base", k.cast("string"))).otherwise(F.col("base")).alias("slug"))
 
 
-@query("q_parse_enum", """SELECT id, CASE WHEN r IN ('fresh', 'baby i', 'baby', '幼年期', '幼年期i', '幼年期ⅰ') THEN 'baby_i' WHEN r IN ('child', 'rookie', '成长期', '成長期') THEN 'child'
- WHEN r IN ('adult', 'champion', '成熟期') THEN 'adult' WHEN r IN ('perfect', '完全体') THEN 'perfect' ELSE 'other' END AS level FROM (SELECT id, lower(trim(level_raw, ' ')) AS r FROM digimon WHERE level_raw IS NOT NULL)
- WHERE regexp_full_match(r, '[a-z ]*') AND r NOT LIKE '%(%'""")
+@query("q_parse_enum", """SELECT id, CASE WHEN r IN ('fresh', 'babyi', 'baby', 'intrainingi') THEN 'baby_i' WHEN r IN ('child', 'rookie') THEN 'child'
+ WHEN r IN ('adult', 'champion') THEN 'adult' WHEN r = 'perfect' THEN 'perfect' ELSE 'other' END AS level
+ FROM (SELECT id, replace(lower(trim(level_raw, ' ')), ' ', '') AS r FROM digimon WHERE level_raw IS NOT NULL) WHERE regexp_full_match(r, '[a-z]*')""")
 def _(s, d):
     g = table(s, d, "digimon").where(F.col("level_raw").isNotNull() & F.lower(F.trim("level_raw")).rlike("^[a-z ]*$"))
     v = T.parse_level(F.col("level_raw"))
@@ -447,12 +447,12 @@ def _edges(s, d):
 
 
 _EDGE = """SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, l_returnflag AS etype, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS sources,
- strftime(arg_max(l_shipdate, l_orderkey * 100 + l_linenumber), '%Y-%m-%d') AS condition, 0 AS is_primary, 'medium' AS confidence FROM lineitem GROUP BY 1, 2, 3"""
+ strftime(arg_max(l_shipdate, (l_orderkey, l_linenumber, l_shipdate)), '%Y-%m-%d') AS condition, 0 AS is_primary, 'medium' AS confidence FROM lineitem GROUP BY 1, 2, 3"""
 
 
 @query("q_edge_build", _EDGE)
 def _(s, d):
-    return graph.consolidate(_edges(s, d), ["l_orderkey", "l_linenumber"])
+    return graph.consolidate(_edges(s, d), ["l_orderkey", "l_linenumber", "condition"])
 
 
 @query("q_edge_sources", """SELECT src, dst, etype, string_agg(DISTINCT p, ',' ORDER BY p) AS sources, max(pr) AS is_primary FROM (SELECT from_digimon_id AS src, to_digimon_id AS dst, coalesce(evolution_type, 'normal') AS etype,
