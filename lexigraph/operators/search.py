@@ -48,17 +48,17 @@ def match_all(post: DataFrame, query: str) -> DataFrame:
     return g.select("doc_id")
 
 
-def bm25(post: DataFrame, query: str, n_docs: Column | None = None) -> DataFrame:
+def bm25(post: DataFrame, query: str) -> DataFrame:
     """(doc_id, score) of documents that hold every term; only the query's postings are scored."""
     words = [t for t, _ in query_terms(query) or []]
     per_doc = post.select("doc_id", "length").distinct()
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    n, average = per_doc.agg(F.count(F.lit(1)), F.avg("length")).first()  # one row of corpus statistics
+    n_docs, avg_length = F.lit(n), F.lit(average or 1.0)
     hits = post.where(F.col("token").isin(words))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # both broadcast sides are bounded: one row, and one row per query term
-    s = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    s = hits.join(F.broadcast(df), "token")  # one row per query term
+    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg_length))
     g = s.withColumn("w", weight).groupBy("doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("found"))
     return g.where(F.col("found") == len(set(words))).select("doc_id", "score")
 
