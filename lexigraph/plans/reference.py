@@ -505,6 +505,61 @@ def _(s, d):
     return graph.hops(_small_graph(s, d).select("src", "dst"), 2, 2)
 
 
+_SLUG_INDEX = """x AS (SELECT canonical_slug AS k, min(id) AS id FROM digimon WHERE canonical_slug IS NOT NULL GROUP BY 1),
+ n AS (SELECT regexp_replace(lower(canonical_slug), '[^a-z0-9]', '', 'g') AS k, min(id) AS id FROM digimon WHERE canonical_slug IS NOT NULL GROUP BY 1)"""
+
+
+def _slug_indexes(s, d):
+    g = table(s, d, "digimon").where("canonical_slug is not null")
+    exact = g.groupBy(F.col("canonical_slug").alias("key")).agg(F.min("id").alias("id"))
+    loose = g.groupBy(T.bare_key(F.col("canonical_slug")).alias("key")).agg(F.min("id").alias("id"))
+    return exact, loose
+
+
+@query("q_link_resolve", f"""WITH {_SLUG_INDEX}, l AS (SELECT ordinal, unnest(evolves_to) AS ref, 'to' AS direction FROM source_digimon UNION ALL SELECT ordinal, unnest(evolves_from), 'from' FROM source_digimon)
+ SELECT ordinal, ref, direction, coalesce(x.id, n.id) AS target FROM l LEFT JOIN x ON x.k = ref LEFT JOIN n ON n.k = regexp_replace(lower(ref), '[^a-z0-9]', '', 'g')
+ WHERE ref IS NOT NULL AND NOT regexp_matches(lower(ref), 'card game|battle spirits|any adult|any child|any digimon|any armor|also evolves from|lv[.]')""")
+def _(s, d):
+    exact, loose = _slug_indexes(s, d)
+    links = graph.link_rows(table(s, d, "source_digimon").withColumn("entity", F.col("ordinal"))).select("ordinal", "ref", "direction")
+    r = graph.resolve_refs(links, "ref", exact).withColumnRenamed("target", "t0").withColumn("loose", T.bare_key(F.col("ref")))
+    return graph.resolve_refs(r, "loose", loose).select("ordinal", "ref", "direction", F.coalesce("t0", "target").alias("target"))
+
+
+@query("q_unresolved_targets", f"""WITH {_SLUG_INDEX}, l AS (SELECT source, unnest(evolves_to) AS ref FROM source_digimon)
+ SELECT source, count(*) AS n_links, count(*) FILTER (coalesce(x.id, n.id) IS NULL) AS n_unresolved FROM l LEFT JOIN x ON x.k = ref LEFT JOIN n ON n.k = regexp_replace(lower(ref), '[^a-z0-9]', '', 'g') WHERE ref IS NOT NULL GROUP BY source""")
+def _(s, d):
+    exact, loose = _slug_indexes(s, d)
+    links = table(s, d, "source_digimon").select("source", F.explode("evolves_to").alias("ref")).where("ref is not null")
+    r = graph.resolve_refs(links, "ref", exact).withColumnRenamed("target", "t0").withColumn("loose", T.bare_key(F.col("ref")))
+    r = graph.resolve_refs(r, "loose", loose)
+    return r.groupBy("source").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.coalesce("t0", "target").isNull()).alias("n_unresolved"))
+
+
+@query("q_cascade_match", """WITH e AS (SELECT name_en AS k, min(id) AS id FROM digimon WHERE name_en IS NOT NULL GROUP BY 1), b AS (SELECT regexp_replace(lower(name_en), '[^a-z0-9]', '', 'g') AS k, min(id) AS id FROM digimon WHERE name_en IS NOT NULL GROUP BY 1),
+ r AS (SELECT ordinal, list_filter(names, lambda x: x.language = 'en')[1].value AS name FROM source_digimon WHERE source = 'digidb')
+ SELECT ordinal, name, coalesce(e.id, b.id) AS id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'key' ELSE 'review' END AS how
+ FROM r LEFT JOIN e ON e.k = name LEFT JOIN b ON b.k = regexp_replace(lower(name), '[^a-z0-9]', '', 'g')""")
+def _(s, d):
+    g = table(s, d, "digimon").where("name_en is not null")
+    exact = g.groupBy(F.col("name_en").alias("key")).agg(F.min("id").alias("id"))
+    loose = g.groupBy(T.bare_key(F.col("name_en")).alias("key")).agg(F.min("id").alias("id"))
+    en = F.try_element_at(F.filter("names", lambda n: n["language"] == "en"), F.lit(1))["value"]
+    r = table(s, d, "source_digimon").where("source = 'digidb'").select("ordinal", en.alias("name"), T.bare_key(en).alias("loose"))
+    r = graph.resolve_refs(graph.resolve_refs(r, "name", exact).withColumnRenamed("target", "t0"), "loose", loose)
+    how = F.when(F.col("t0").isNotNull(), "exact").when(F.col("target").isNotNull(), "key").otherwise("review")
+    return r.select("ordinal", "name", F.coalesce("t0", "target").alias("id"), how.alias("how"))
+
+
+@query("q_snapshot_stale", """SELECT (SELECT snapshot_date FROM catalog_snapshot ORDER BY id DESC LIMIT 1) AS snapshot_date, (SELECT total_count FROM catalog_snapshot ORDER BY id DESC LIMIT 1) AS told, count(*) AS counted,
+ count(*) IS DISTINCT FROM (SELECT total_count FROM catalog_snapshot ORDER BY id DESC LIMIT 1) AS stale FROM digimon WHERE deleted_at IS NULL""")
+def _(s, d):
+    last = table(s, d, "catalog_snapshot").agg(F.max_by(F.struct("snapshot_date", "total_count"), "id").alias("l")).select("l.*").first()
+    n = table(s, d, "digimon").where("deleted_at is null").agg(F.count(F.lit(1)).alias("counted"))
+    told = F.lit(last["total_count"]).cast("bigint")
+    return n.select(F.lit(last["snapshot_date"]).alias("snapshot_date"), told.alias("told"), "counted", (~F.col("counted").eqNullSafe(told)).alias("stale"))
+
+
 # ---------------------------------------------------------------- history, review, exports, events
 
 
