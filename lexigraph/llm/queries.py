@@ -157,7 +157,8 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     name_of_id = F.regexp_extract(spelled_id, r"(?i)^([^\d]{4,}mon)(?![a-z])", 1)
     mark = F.lower(F.regexp_replace(F.expr("substring(spelled_id, length(name_of_id) + 1)"), r"[^A-Za-z0-9]", ""))
     s = s.withColumn("spelled_id", spelled_id).withColumn("name_of_id", name_of_id).withColumn("mark", F.when(F.col("name_of_id") != "", mark))
-    told = F.filter("names", lambda n: F.coalesce(n["matchable"], F.lit(True)) & survivorship.tells(n["value"]))
+    listed_names = F.coalesce("names", F.array().cast(s.schema["names"].dataType))
+    told = F.filter(listed_names, lambda n: F.coalesce(n["matchable"], F.lit(True)) & survivorship.tells(n["value"]))
     s = cut(s.withColumn("told", F.transform(told, lambda n: F.struct(n["value"].alias("value"), n["language"].alias("language")))).drop("names"))
     # ideographs learned from rows that also spell a Latin name
     latin = F.concat(F.transform(F.filter("told", lambda n: n["language"] == "en"), lambda n: n["value"]), F.array(F.col("name_of_id")))
