@@ -61,6 +61,29 @@ def test_candidates(spark, rows):
     assert got == {(1, 2), (1, 3), (1, 6), (2, 5), (3, 5), (5, 6)}
 
 
+def _brute(keys, most=2.5):
+    cost = lambda a, b: min(names.edit_cost(a, b), names.edit_cost(b, a))
+    return {(a, b): cost(a, b) for a in keys for b in keys if a != b and cost(a, b) <= most}
+
+
+def test_similar_keys_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    told = ["nhaknabdup", "nokhaknabdup", "hdobgekfad", "hazdobgekfad", "sutfegpfox", "sutfegpobfox"]
+    for k in ["rispobsizkux", "gusdobzan", "batbor", "rispob" * 5, "".join(rng.choice("bdfgkaeiou") for _ in range(70))]:
+        told.append(k)
+        for _ in range(12):
+            t = k
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(t) - 1)
+                t = t[:i] + rng.choice(["", "q", t[i] + "z", t[i + 1] + t[i]]) + t[i + (rng.random() < 0.5) + 1 :]
+            told.append(t)
+    told = sorted({t for t in told if len(t) >= 6})
+    got = {(r.a, r.b): r.cost for r in matching.similar_keys(spark.createDataFrame([(t,) for t in told], "key string")).collect()}
+    assert got == _brute(told) and len({c for c in got.values()}) == 5
+
+
 # ------------------------------------------------------------------ 3
 
 
