@@ -46,15 +46,18 @@ CUE_WORDS = (
     "スクリプト", "ブラウザ", "クッキー", "見つかり", "アクセス", "再度", "もう一度", "メンテナンス", "有効", "権限", "エラー", "サーバ", "ログイン", "ダミー", "テストテスト", "ここに", "確認するために",
     "{{", "{%", "<%", "${", "#{", "%(", "%s", "%%", "[[", "@@", "__", "$", "&lt;", "{0", "{1", "{2", "{3", "{4", "{5", "{6", "{7", "{8", "{9", " tbd]", " tba]", " here]", "here>",
     "[insert", "[your", "[add", "（此", "（在此", "（请在此", "todo:", "fixme",
+    "[object object]", "入れる", "差し替え", "準備中", "（仮）", "(仮)", "○○○○", "〇〇〇〇", " missing -->",
 )
 #: Unresolved slots of common template languages.
 SLOTS = (
     r"\{\{\{?[^{}\n]{0,80}\}?\}\}|\{%[^%\n]{0,80}%\}|<%[=-]?[^%\n]{0,80}%>|[$#]\{[^{}\n]{0,60}\}|%\([A-Za-z_]{1,40}\)[sd]|(?<![\w%])%s|%s(?![A-Za-z])|\[\[[A-Z][A-Z_ ]{1,40}\]\]|"
     r"@@\w{1,40}@@|__[A-Z][A-Z_]{1,40}__|\$[A-Z][A-Z_]{0,40}\$|%%?[A-Z][A-Z_]{1,40}%%?|&lt;[A-Za-z_]{1,40}&gt;|\{[0-9]{1,2}\}|\[[A-Z][A-Z _]{0,40} (?:TBD|TBA|HERE)\]|"
-    r"<[A-Za-z_ ]{1,40} (?:goes )?here>|\[(?:insert|your|add) [A-Za-z_ ]{1,40}\]|[（(](?:请?在?此处?|ここに)[^（）()\n]{0,16}(?:填写|输入|插入|添加|入力|記入|挿入)[^（）()\n]{0,16}[）)]|\bTODO:|\bFIXME\b"
+    r"<[A-Za-z_ ]{1,40} (?:goes )?here>|\[(?:insert|your|add) [A-Za-z_ ]{1,40}\]|[（(](?:请?在?此处?|ここに)[^（）()\n]{0,16}(?:填写|输入|插入|添加|入力|記入|挿入)[^（）()\n]{0,16}[）)]|\bTODO:|\bFIXME\b|"
+    r"\[object Object\]|[【［\[][^【】［］\[\]\n]{0,24}(?:入れる|差し替え|準備中|待补充|待填写|此处填写)[^【】［］\[\]\n]{0,24}[】］\]]|[【［][^【】［］\n]{0,24}[（(]仮[）)][】］]|[○〇]{2,}[（(]仮[）)]|[○〇]{4}|"
+    r"<!-- [A-Za-z_ ]{1,40} missing -->"
 )
 #: A message that talks about the notation, not one that was left unfilled.
-ABOUT_SLOTS = r"(?i)`[^`\n]*(\{\{|\$\{|<%|%s|\[\[|#\{|%\(|__|\{\d)[^`\n]*`|guide\b|syntax|notation|formula|mark such as|is written|write it|写法|标出|指南|書き方|手引き|という記法"
+ABOUT_SLOTS = r"(?i)`[^`\n]*(\{\{|\$\{|<%|%s|\[\[|#\{|%\(|__|\{\d|\[object |【|［|○○|<!--)[^`\n]*`|guide\b|syntax|notation|formula|mark such as|is written|write it|写法|标出|指南|書き方|手引き|という記法"
 #: Notices about scripts, error messages and filler, as they read once masked.
 RESIDUE = (
     # scripts

@@ -166,6 +166,15 @@ def test_residue(spark):
     assert residue.residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+MARKS = ["Its scar is on [object Object] today.", "リスポは【名称を入れる】修理する。", "ンは埠頭を運び［画像準備中：差し替え］去る。", "リスポは古びた○○○○（仮）吊り橋を見張る。", "它住在［待补充：图片］河边。", "It sleeps <!-- creature_name missing --> here."]
+NO_MARKS = ["The manual: `[object Object]` is what the page shows.", "箱に石を入れる。", "店は準備中だ。", "【必殺技】を出す。", "It copies an object [0]."]
+
+
+def test_marks_in_sentences(spark):
+    df = spark.createDataFrame(list(enumerate([*MARKS, *NO_MARKS])), "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.residue(df, "doc_id", "text").collect()} == {*range(len(MARKS))}
+
+
 def test_prefix_tree():
     which, groups = residue.mine_leaf(["a b c d x", "a b c d y", "q r s t u"])
     assert which == [0, 0, 1] and groups[0] == ["a", "b", "c", "d", "<*>"]
