@@ -86,50 +86,75 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _slug_form(key):
-    """The form that the letters of a slug tell by their ending."""
-    return F.concat(F.when(key.rlike("xantibody(black|second)*$"), "x").otherwise(""), F.when(key.rlike("black(xantibody|second)*$"), "black").otherwise(""))
+#: What every name of this catalogue ends with.
+GENERIC = ("mon", "モン", "兽", "数码兽")
+#: Words by which a slug or an id tells the second bearer of a name.
+SECOND = ("second", "2nd", "b")
+#: Words by which an id tells a form.
+ID_FORMS = {"x": "x", "xkt": "x", "black": "black", "blk": "black", "hei": "black"}
 
 
 def _creature_names(spark: SparkSession, sf_dir: str, simplify: dict[int, str]) -> tuple[DataFrame, dict[str, str]]:
-    """(key, form, entity, rank) of all names of all creatures, and the learned ideographs."""
+    """(space, words, form, entity, rank) of all names of all creatures, and the learned ideographs."""
     d = table(spark, sf_dir, "digimon").select("id", "canonical_slug", "name_en", "name_ja", "name_zh_cn").withColumn("_key", survivorship.group_key(F.col("canonical_slug")))
-    groups = d.where("_key is not null").groupBy("_key").agg(F.min("id").alias("entity"))
+    d = cut(d.where("_key is not null"))
+    groups = cut(d.groupBy("_key").agg(F.min("id").alias("entity"), F.min_by("canonical_slug", "id").alias("slug")))
     d = d.join(groups, "_key")
-    han = names.learn_han(d, "_key", "name_zh_cn", simplify)
-    bare_slug = F.regexp_replace("_key", "(xantibody|black|second)+$", "")
-    told = [F.when(survivorship.tells(F.col(c)), F.col(c)) for c in ("name_en", "name_ja", "name_zh_cn")]
-    own = d.select("entity", "_key", F.explode(F.array_compact(F.array(bare_slug, *told))).alias("name"), F.lit(True).alias("own"))
+    told = lambda c: F.when(survivorship.tells(F.col(c)), F.col(c))
+    spelled = F.regexp_replace("slug", r"(?i)[\W_]+(" + "|".join(SECOND) + r")\W*$", "")
+    # a bearer of a name that another had before is called by a longer slug and comes after it
+    later = (F.col("slug") != F.col("spelled")).cast("int")
+    own = d.withColumn("spelled", spelled).select("entity", "_key", "slug", later.alias("rank"), F.array_compact(F.array("spelled", told("name_en"), told("name_ja"), told("name_zh_cn"))).alias("names"), told("name_zh_cn").alias("zh"), "spelled")
+    own = cut(own)
+    han = names.learn_han(own, "spelled", "zh", simplify, GENERIC)
+    of = own.select("entity", "_key", "slug", "rank").distinct()
+    rows = own.select("entity", "slug", "rank", F.explode("names").alias("name"))
     # spellings that are linked already carry the nicknames; the form is the creature's
-    ids = d.select(F.col("id").alias("digimon_id"), "entity", "_key")
+    ids = d.select(F.col("id").alias("digimon_id"), "entity")
     linked = table(spark, sf_dir, "digimon_alias").where("digimon_id is not null and alias is not null").select("digimon_id", "alias")
-    linked = linked.join(ids, "digimon_id").select("entity", "_key", F.col("alias").alias("name"), F.lit(False).alias("own"))
+    linked = linked.join(ids.distinct(), "digimon_id").select("entity", F.col("alias").alias("name")).join(of, "entity").select("entity", "slug", (F.col("rank") + 2).alias("rank"), "name")
     noted = table(spark, sf_dir, "manual_aliases").where("canonical_slug is not null and alias is not null").select(survivorship.group_key(F.col("canonical_slug")).alias("_key"), "alias")
-    noted = noted.join(groups, "_key").select("entity", "_key", F.col("alias").alias("name"), F.lit(False).alias("own"))
-    rows = own.unionByName(linked).unionByName(noted).withColumn("r", names.read_column(F.col("name"), simplify, han))
-    # namesakes are written with other ideographs, so these count as they stand, too
-    keys = F.explode(F.array_distinct(F.filter(F.array("r.key", "r.other", "r.signs"), lambda k: k != "")))
-    namesake = F.col("_key").rlike("second$").cast("int")
-    rows = rows.where("r.key <> ''").select(keys.alias("key"), _slug_form(F.col("_key")).alias("form"), "entity", (F.when(F.col("own"), 0).otherwise(2) + namesake).alias("rank"))
-    return rows.groupBy("key", "form", "entity").agg(F.min("rank").alias("rank")), han
+    noted = noted.join(of, "_key").select("entity", "slug", (F.col("rank") + 2).alias("rank"), F.col("alias").alias("name"))
+    rows = rows.unionByName(linked).unionByName(noted).distinct()
+    forms = groups.select("entity", names.read_column(F.col("slug"), simplify, None, GENERIC)["form"].alias("form"))
+    rows = rows.withColumn("r", names.read_column(F.col("name"), simplify, han, GENERIC)).select("entity", "rank", "r.space", "r.words").where("words is not null")
+    # only the slug is read in the other spaces: a creature has it in any case
+    slugs = own.select("entity", "rank", "spelled").distinct().select("entity", "rank", F.inline(names.crossed_column(F.col("spelled"), simplify, GENERIC)))
+    return rows.unionByName(slugs).join(forms, "entity").select("space", "words", "form", "entity", "rank"), han
+
+
+def _unlinked(spark: SparkSession, sf_dir: str, simplify: dict[int, str], han: dict[str, str]) -> DataFrame:
+    """(alias_table, alias_id, form, space, words) of the unlinked spellings."""
+    a = table(spark, sf_dir, "digimon_alias").where("digimon_id is null").select(F.lit("digimon_alias").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
+    m = table(spark, sf_dir, "manual_aliases").where("canonical_slug is null").select(F.lit("manual_aliases").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
+    rows = a.unionByName(m).where("alias is not null").withColumn("r", names.read_column(F.col("alias"), simplify, han, GENERIC))
+    return rows.select("alias_table", "alias_id", "r.form", "r.space", "r.words").where("words is not null")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The creature of every unlinked spelling."""
     simplify = names.simplified_table(spark)
     centres, han = _creature_names(spark, sf_dir, simplify)
-    centres = cut(centres)
-    a = table(spark, sf_dir, "digimon_alias").where("digimon_id is null").select(F.lit("digimon_alias").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
-    m = table(spark, sf_dir, "manual_aliases").where("canonical_slug is null").select(F.lit("manual_aliases").alias("alias_table"), F.col("id").alias("alias_id"), "alias")
-    rows = a.unionByName(m).where("alias is not null").withColumn("r", names.read_column(F.col("alias"), simplify, han))
-    # a row of ideographs may also be read with two neighbours swapped, at a discount
-    reading = lambda d, k: F.struct(F.lit(d).alias("d"), k.alias("key"))
-    read = F.concat(F.array(reading(0.0, F.col("r.signs")), F.when(F.col("r.signs") == "", reading(0.0, F.col("r.key"))).otherwise(reading(0.05, F.col("r.key")))), F.transform("r.swaps", lambda k: reading(0.2, k)))
-    read = F.filter(read, lambda k: k["key"] != "")
-    rows = cut(rows.where("r.key <> ''").select("alias_table", "alias_id", "r.form", F.explode(read).alias("k")).select("alias_table", "alias_id", "form", "k.d", "k.key"))
-    links = variants.stars(rows.select("key", "form").distinct(), centres)
-    best = F.max_by("entity", F.struct((F.col("similarity") - F.col("d")).alias("s"), (-F.col("entity")).alias("e")))
-    return rows.join(links, ["key", "form"]).groupBy("alias_table", "alias_id").agg(best.alias("digimon_id"))
+    rows = cut(_unlinked(spark, sf_dir, simplify, han))
+    links = variants.link(rows, centres)
+    rows = rows.withColumn("key", variants.joined(F.array_join("words", " ")))
+    return rows.join(links, ["space", "key", "form"]).groupBy("alias_table", "alias_id").agg(F.min("entity").alias("digimon_id"))
+
+
+def p5_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stars of the unlinked spellings that name no known creature: every distinct one with its centre."""
+    simplify = names.simplified_table(spark)
+    centres, han = _creature_names(spark, sf_dir, simplify)
+    rows = cut(_unlinked(spark, sf_dir, simplify, han))
+    asked = cut(variants.vertices(rows, "form"))
+    rest = cut(asked.join(variants.link(rows, centres).select("space", "key", "form"), ["space", "key", "form"], "left_anti"))
+    node = lambda key: F.concat_ws("|", "space", "form", key)
+    pairs = variants.similar_pairs(cut(rest.groupBy("space", "key").agg(F.max("spaced").alias("spaced"))))
+    left = rest.select("space", F.col("key").alias("left_key"), "form")
+    right = rest.select("space", F.col("key").alias("right_key"), "form")
+    edges = pairs.join(left, ["space", "left_key"]).join(right, ["space", "right_key", "form"]).select(node(F.col("left_key")).alias("a"), node(F.col("right_key")).alias("b"), "similarity")
+    s = variants.stars(edges, rest.select(node(F.col("key")).alias("node")))
+    return s.select(F.col("node").alias("spelling"), F.col("centre").alias("star"), F.round("similarity", 6).alias("similarity"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +162,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ordinal_a, ordinal_b, confidence) of all candidate pairs of rows."""
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b, confidence) of all candidate pairs of classes, and (cls, ordinal) of all rows in them."""
     simplify = names.simplified_table(spark)
     s = table(spark, sf_dir, "source_digimon").where("source is not null and ordinal is not null")
     s = s.select("source", F.coalesce("source_id", F.concat(F.lit("#"), F.col("ordinal").cast("string"))).alias("sid"), "ordinal", "names", "level", "level_raw", "attribute", "attribute_raw", "x_antibody")
@@ -152,50 +177,74 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = sized_join(s, said, f"{field}_token", "left")
         value = F.coalesce(F.when(F.col(field) != "unknown", F.col(field)), F.col(f"{field}_said"))
         s = s.withColumn(field, F.when(value != "unknown", value)).drop(f"{field}_raw", f"{field}_token", f"{field}_said")
-    # ids that spell a name; what follows the name is a mark
-    spelled_id = F.regexp_replace("sid", r"(?i)[ _]*\(page \d+\)", "")
-    name_of_id = F.regexp_extract(spelled_id, r"(?i)^([^\d]{4,}mon)(?![a-z])", 1)
-    mark = F.lower(F.regexp_replace(F.expr("substring(spelled_id, length(name_of_id) + 1)"), r"[^A-Za-z0-9]", ""))
-    s = s.withColumn("spelled_id", spelled_id).withColumn("name_of_id", name_of_id).withColumn("mark", F.when(F.col("name_of_id") != "", mark))
+    # ids that spell a name: brackets that hold a number tell pages apart, the last word may be a mark
+    spelled_id = F.trim(F.regexp_replace("sid", r"[(（\[][^()（）\[\]]*\d[^()（）\[\]]*[)）\]]", " "))
+    last = F.lower(F.regexp_extract(spelled_id, r"[-_ (\[]+([A-Za-z0-9]+)[)\]]?$", 1))
+    marked = last.isin(*SECOND, *ID_FORMS)
+    name_of_id = F.when(marked, F.regexp_replace(spelled_id, r"[-_ (\[]+[A-Za-z0-9]+[)\]]?$", "")).otherwise(spelled_id)
+    # an id with a number is a number; one of short pieces is one word
+    name_of_id = F.when(~name_of_id.rlike(r"\d") & name_of_id.rlike(r"^.*\p{L}{3}"), F.when(name_of_id.rlike(r"^[a-z]{1,4}(-[a-z]{1,4})+$"), F.replace(name_of_id, F.lit("-"), F.lit(""))).otherwise(name_of_id))
+    s = s.withColumn("name_of_id", name_of_id).withColumn("mark", F.when(F.col("name_of_id").isNotNull(), F.when(marked, last).otherwise("")))
     listed_names = F.coalesce("names", F.array().cast(s.schema["names"].dataType))
     told = F.filter(listed_names, lambda n: F.coalesce(n["matchable"], F.lit(True)) & survivorship.tells(n["value"]))
-    s = cut(s.withColumn("told", F.transform(told, lambda n: F.struct(n["value"].alias("value"), n["language"].alias("language")))).drop("names"))
+    s = s.withColumn("told", F.transform(told, lambda n: F.struct(n["value"].alias("value"), n["language"].alias("language")))).drop("names")
+    s = cut(s.withColumn("node", F.min("ordinal").over(Window.partitionBy("source", "sid"))))
     # ideographs learned from rows that also spell a Latin name
     latin = F.concat(F.transform(F.filter("told", lambda n: n["language"] == "en"), lambda n: n["value"]), F.array(F.col("name_of_id")))
     han = F.transform(F.filter("told", lambda n: n["language"].startswith("zh")), lambda n: n["value"])
     both = s.select(F.explode(latin).alias("latin"), han.alias("han")).select("latin", F.explode("han").alias("han")).where("latin <> ''")
-    table_of_han = names.learn_han(both, "latin", "han", simplify)
-    node = F.min("ordinal").over(Window.partitionBy("source", "sid"))
-    s = cut(s.withColumn("node", node))
-    all_names = F.filter(F.concat(F.transform("told", lambda n: n["value"]), F.array(F.regexp_replace("name_of_id", r"-", ""))), lambda v: v != "")
-    read = s.select("node", "source", "mark", "x_antibody", F.explode(F.array_distinct(all_names)).alias("name")).withColumn("r", names.read_column(F.col("name"), simplify, table_of_han)).where("r.key <> ''")
-    x = F.col("r.form").contains("x") | F.coalesce(F.col("x_antibody"), F.lit(False)) | F.col("mark").rlike("^x")
-    black = F.col("r.form").contains("black") | F.col("mark").rlike("^(black|blk|hei)")
-    forms = read.groupBy("node").agg(F.concat(F.when(F.bool_or(F.coalesce(x, F.lit(False))), "x").otherwise(""), F.when(F.bool_or(F.coalesce(black, F.lit(False))), "black").otherwise("")).alias("form"))
-    keys = read.select("node", "source", F.explode(F.array_distinct(F.array("r.key", "r.other"))).alias("key")).distinct()
-    spelled = cut(keys.join(forms, "node"))
-    second = F.max(F.when(F.col("mark").rlike("^(2nd|second|b)$"), 1).when(F.col("mark").isNotNull(), 0))
-    nodes = cut(s.groupBy("node").agg(F.min("source").alias("source"), F.max("level").alias("level"), F.max("attribute").alias("attribute"), second.alias("second")))
-    pairs = cut(matching.candidate_nodes(spelled))
-    beliefs = cut(matching.propagate(cut(matching.log_odds(pairs, nodes))))
-    rows = s.select("node", "ordinal").distinct()
-    a = rows.select(F.col("node").alias("a"), F.col("ordinal").alias("o_a"))
-    b = rows.select(F.col("node").alias("b"), F.col("ordinal").alias("o_b"))
-    j = beliefs.join(a, "a").join(b, "b")
-    return j.select(F.least("o_a", "o_b").alias("ordinal_a"), F.greatest("o_a", "o_b").alias("ordinal_b"), "confidence")
+    table_of_han = names.learn_han(both, "latin", "han", simplify, GENERIC)
+    all_names = F.filter(F.concat(F.transform("told", lambda n: n["value"]), F.array(F.col("name_of_id"))), lambda v: v.isNotNull() & (v != ""))
+    r = names.read_column(F.col("name"), simplify, table_of_han, GENERIC)
+    read = s.select("node", "source", "mark", "x_antibody", F.explode(F.array_distinct(all_names)).alias("name")).withColumn("r", r)
+    marks = F.create_map(*[F.lit(x) for pair in ID_FORMS.items() for x in pair])
+    form_of_id = F.coalesce(marks[F.col("mark")], F.lit(""))
+    x = F.col("r.form").contains("x") | F.coalesce(F.col("x_antibody"), F.lit(False)) | (form_of_id == "x")
+    black = F.col("r.form").contains("black") | (form_of_id == "black")
+    second = F.when(F.col("mark").isin(*SECOND), 1).when(F.col("mark").isNotNull(), 0)
+    flag = lambda c, name: F.when(F.bool_or(F.coalesce(c, F.lit(False))), name).otherwise("")
+    own = F.collect_set(F.when(F.col("r.words").isNotNull(), F.struct(F.col("r.space").alias("space"), F.col("r.words").alias("words"))))
+    a_latin = F.max(F.when(F.col("r.space") == "latin", F.struct(F.size("r.words").alias("n"), F.col("name"))))
+    nodes = read.groupBy("node").agg(F.first("source").alias("source"), F.concat(flag(x, "x"), flag(black, "black")).alias("form"), F.max(second).alias("second"), own.alias("own"), a_latin["name"].alias("latin_name"))
+    nodes = cut(nodes.where(F.size("own") > 0))
+    has = lambda space: F.exists("own", lambda k: k["space"] == space)
+    # a node reads its Latin name in another space only if it has no name of its own there
+    lent = names.crossed_column(F.when(~has("kana") | ~has("syllable"), F.col("latin_name")), simplify, GENERIC)
+    nodes = nodes.withColumn("lent", lent)
+    keys = F.concat("own", F.filter("lent", lambda k: ((k["space"] == "kana") & ~has("kana")) | ((k["space"] == "syllable") & ~has("syllable"))))
+    nodes = nodes.withColumn("keys", F.array_sort(F.array_distinct(keys))).drop("own", "lent", "latin_name")
+    facts = s.groupBy("node").agg(F.max("level").alias("level"), F.max("attribute").alias("attribute"))
+    nodes = cut(matching.classes(nodes.join(facts, "node")))
+    kinds = nodes.where("node = cls")
+    latin = F.exists("keys", lambda k: k["space"] == "latin").alias("latin")
+    spelled = kinds.select("cls", "source", "form", latin, F.explode("keys").alias("k")).select("cls", "source", "form", "latin", "k.space", "k.words")
+    pairs = matching.candidates(spelled)
+    beliefs = cut(matching.propagate(matching.log_odds(pairs, kinds.select("node", "source", "n", "level", "attribute", "second"))))
+    rows = s.select("node", "ordinal").distinct().join(nodes.select("node", "cls"), "node")
+    return beliefs, rows.select("cls", "ordinal")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of different sources that describe the same creature."""
-    return _matched(spark, sf_dir).where("confidence > 0.5").select("ordinal_a", "ordinal_b")
+    beliefs, rows = _matched(spark, sf_dir)
+    # more than one half is given to one partner only: both classes have one node
+    j = beliefs.where("confidence > 0.5").join(rows.select(F.col("cls").alias("a"), F.col("ordinal").alias("o_a")), "a").join(rows.select(F.col("cls").alias("b"), F.col("ordinal").alias("o_b")), "b")
+    return j.select(F.least("o_a", "o_b").alias("ordinal_a"), F.greatest("o_a", "o_b").alias("ordinal_b"))
 
 
 def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidate pairs with their marginal match probability."""
-    return _matched(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    """All candidate pairs of classes of rows that cannot be told apart, with the match probability of a member of one with one of the other."""
+    beliefs, _ = _matched(spark, sf_dir)
+    return beliefs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("confidence", 6).alias("confidence"))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row that has a name."""
+    _, rows = _matched(spark, sf_dir)
+    return rows.select("ordinal", F.col("cls").alias("class_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_confidence": p2_confidence, "p2_members": p2_members, "p3_found": p3_found, "p5_found": p5_found, "p5_stars": p5_stars, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found}
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in survivorship.PLACEHOLDERS)
 _FILLER = ", ".join(f"'{x}'" for x in survivorship.FILLER_WORDS)

@@ -35,7 +35,7 @@ def test_canonical(spark, simplify):
 
 
 def _lbp(spark, pairs):
-    df = spark.createDataFrame(pairs, "a bigint, b bigint, source_a string, source_b string, odds double")
+    df = spark.createDataFrame([p if len(p) == 7 else (*p[:4], 1, 1, p[4]) for p in pairs], "a bigint, b bigint, source_a string, source_b string, n_a bigint, n_b bigint, odds double")
     return {(r.a, r.b): r.confidence for r in matching.propagate(df).collect()}
 
 
@@ -55,33 +55,32 @@ def test_exact_marginals_on_a_tree(spark):
     assert abs(got[(1, 2)] - 3 / 6) < 2e-2 and abs(got[(1, 3)] - 2 / 6) < 2e-2
 
 
-def test_candidates(spark, rows):
-    spelled = spark.createDataFrame([(1, "s", "rispobsizkux", ""), (2, "t", "rispobsizkux", ""), (3, "t", "rispobsizkxu", ""), (4, "t", "rispobsizkux", "x"), (5, "s", "rispobsizkux", ""), (6, "t", "rspbsizkux", ""), (7, "u", "other", "")], "node bigint, source string, key string, form string")
-    got = {(a, b) for a, b, _ in rows(matching.candidate_nodes(spelled))}
-    assert got == {(1, 2), (1, 3), (1, 6), (2, 5), (3, 5), (5, 6)}
+def test_classes_equal_their_members(spark):
+    # a class of 3 against one node has the confidence of each of three equal rivals
+    spread = _lbp(spark, [(1, 2, "s", "t", 5.0), (1, 3, "s", "t", 5.0), (1, 4, "s", "t", 5.0)])
+    assert abs(_lbp(spark, [(1, 2, "s", "t", 1, 3, 5.0)])[(1, 2)] - spread[(1, 2)]) < 5e-3
 
 
-def _brute(keys, most=2.5):
-    cost = lambda a, b: min(names.edit_cost(a, b), names.edit_cost(b, a))
-    return {(a, b): cost(a, b) for a in keys for b in keys if a != b and cost(a, b) <= most}
+def test_messages_that_never_rest(spark):
+    df = spark.createDataFrame([(1, 2, "s", "t", 1, 1, 9.0), (1, 3, "s", "t", 1, 1, 9.0)], "a bigint, b bigint, source_a string, source_b string, n_a bigint, n_b bigint, odds double")
+    with pytest.raises(RuntimeError, match="still move"):
+        matching.propagate(df, rounds=2, still=1e-9)
 
 
-def test_similar_keys_against_all_pairs(spark):
-    import random
+def test_candidates(spark, rows):
+    latin = lambda i, source, name, form="": (i, source, form, True, "latin", name.split())
+    told = [latin(1, "s", "rispob sizkux"), latin(2, "t", "rispobsizkux"), latin(3, "t", "rispob sizkxu"), latin(4, "t", "rispob sizkux", "x"), latin(5, "s", "rispob sizkux"), latin(6, "t", "rspb sizkux"), latin(7, "u", "other")]
+    told += [(8, "v", "", False, "kana", ["risupobusizukusu"]), (1, "s", "", True, "kana", ["risupobu", "sizukusu"])]
+    spelled = spark.createDataFrame(told, "cls bigint, source string, form string, latin boolean, space string, words array<string>")
+    got = {(a, b) for a, b, _ in rows(matching.candidates(spelled))}
+    assert got == {(1, 2), (1, 3), (1, 6), (2, 5), (3, 5), (5, 6), (1, 8)}
+
 
-    rng = random.Random(5)
-    told = ["nhaknabdup", "nokhaknabdup", "hdobgekfad", "hazdobgekfad", "sutfegpfox", "sutfegpobfox"]
-    for k in ["rispobsizkux", "gusdobzan", "batbor", "rispob" * 5, "".join(rng.choice("bdfgkaeiou") for _ in range(70))]:
-        told.append(k)
-        for _ in range(12):
-            t = k
-            for _ in range(rng.randrange(1, 4)):
-                i = rng.randrange(len(t) - 1)
-                t = t[:i] + rng.choice(["", "q", t[i] + "z", t[i + 1] + t[i]]) + t[i + (rng.random() < 0.5) + 1 :]
-            told.append(t)
-    told = sorted({t for t in told if len(t) >= 6})
-    got = {(r.a, r.b): r.cost for r in matching.similar_keys(spark.createDataFrame([(t,) for t in told], "key string")).collect()}
-    assert got == _brute(told) and len({c for c in got.values()}) == 5
+def test_members_that_cannot_be_told_apart(spark):
+    schema = "node bigint, source string, form string, keys array<struct<space:string,words:array<string>>>, level string, attribute string, second int"
+    k = [("latin", ["agu"])]
+    nodes = spark.createDataFrame([(5, "s", "", k, None, "data", None), (3, "s", "", k, None, "data", None), (4, "s", "", k, "adult", "data", None), (6, "t", "", k, None, "data", None)], schema)
+    assert {(r.node, r.cls, r.n) for r in matching.classes(nodes).collect()} == {(5, 3, 2), (3, 3, 2), (4, 4, 1), (6, 6, 1)}
 
 
 # ------------------------------------------------------------------ 3
@@ -112,43 +111,127 @@ def test_images(spark, url, good):
 
 # ------------------------------------------------------------------ 5
 
+GENERIC = ("mon", "モン", "兽", "数码兽")
+
+
+@pytest.mark.parametrize("value,space,words,form", [
+    ("Zumzirmon Porhuz", "latin", ["zumzir", "porhuz"], ""), ("ﾉｯｸﾏｯｸﾌｯｸｽﾌｫｯｸｽﾓﾝＸ", "kana", ["nokumakufukusufokusu"], "x"), ("ふぇすぢすはっずねぶもん", "kana", ["fesujisuhazunebu"], ""),
+    ("Gusdob Zanpormoon, black ver.", "latin", ["gusdob", "zanpor"], "black"), ("BlackBatbol Booszanmon", "latin", ["batbor", "buszan"], "black"), ("doxnusfaxzexmonblack", "latin", ["doxnusfaxzex"], "black"),
+    (None, "", [], ""), ("  ", "", [], ""), ("!!!", "", [], ""), ("MON", "", [], ""),
+])
+def test_reading(value, space, words, form):
+    assert names.NameReader(generic=GENERIC).read(value) == (space, form, words)
+
 
-@pytest.mark.parametrize("value,key,form", [("Zumzirmon Porhuz", "zumzirporhuz", ""), ("ﾉｯｸﾏｯｸﾌｯｸｽﾌｫｯｸｽﾓﾝＸ", "nokmakfuxfox", "x"), ("ふぇすぢすはっずねぶもん", "fesjishazneb", ""), ("Gusdob Zanporm., black ver.", "gusdobzanporm", "black"), ("BlackBatbol Booszanmon", "batborbuszan", "black"), (None, "", ""), ("  ", "", ""), ("!!!", "", "")])
-def test_reading(value, key, form):
-    r = names.NameReader().read(value)
-    assert (r[0], r[2]) == (key, form)
+#: Names of other catalogues, in both scripts.
+BOTH_SCRIPTS = [("Agumon", "アグモン"), ("Gabumon", "ガブモン"), ("Greymon", "グレイモン"), ("WarGreymon", "ウォーグレイモン"), ("Patamon", "パタモン"), ("Koromon", "コロモン"), ("Tentomon", "テントモン"), ("Piyomon", "ピヨモン"), ("MetalGarurumon", "メタルガルルモン"), ("Leomon", "レオモン")]
 
 
-def test_han_table_and_stars(spark, rows, simplify):
-    pairs = spark.createDataFrame([("Rispob Sizkuxmon", "忱焉挠仗兽"), ("risgub-sizgibmon", "忱点挠戏獸"), ("Xy", "忱"), (None, "忱焉")], "a string, b string")
-    han = names.learn_han(pairs, "a", "b", simplify)
-    assert (han["忱"], han["仗"], han["戏"]) == ("ris", "kux", "gib")
-    assert names.NameReader(simplify, han).read("忱焉 挠仗數碼獸")[0] == "rispobsizkux"
-    centres = spark.createDataFrame([("rispobsizkux", "", 7, 0), ("sizkuxrispob", "", 7, 0), ("rispobsizkux", "", 3, 1), ("mutfodfuthok", "x", 8, 0)], "key string, form string, entity bigint, rank int")
-    spelled = spark.createDataFrame([("rispobsizkux", ""), ("rspbsizkux", ""), ("rispobsizkxu", ""), ("mutfodfuthok", ""), ("fotoframe241", "")], "key string, form string")
-    got = {(r.key, r.entity) for r in variants.stars(spelled, centres).collect()}
-    assert got == {("rispobsizkux", 7), ("rspbsizkux", 7), ("rispobsizkxu", 7)}
-    assert variants.stars(spelled.limit(0), centres).count() == 0
+@pytest.mark.parametrize("latin,kana", BOTH_SCRIPTS)
+def test_kana_of_other_names(latin, kana):
+    reader = names.NameReader(generic=GENERIC)
+    lent = dict(reader.crossed(latin))["kana"]
+    assert variants.monge_elkan(["kana"], [lent], [reader.read(kana)[2]])[0] >= variants.THRESHOLD
+
+
+def test_han_table_and_links(spark, rows, simplify):
+    pairs = spark.createDataFrame([("Rispob Sizkuxmon", "忱焉挠仗兽"), ("risgub-sizgibmon", "忱点挠戏獸"), ("Agumon", "亚古兽"), ("Xy", "忱"), (None, "忱焉")], "a string, b string")
+    han = names.learn_han(pairs, "a", "b", simplify, GENERIC)
+    assert (han["忱"], han["仗"], han["戏"], han["古"]) == ("ris", "kux", "gib", "gu")
+    assert names.NameReader(simplify, han, GENERIC).read("忱焉 挠仗數碼獸")[2] == ["ris", "pob", "siz", "kux"]
+    known = [("latin", ["rispob", "sizkux"], "", 7, 0), ("latin", ["rispob", "sizkux"], "", 3, 1), ("latin", ["mutfod", "futhok"], "x", 8, 0), ("syllable", ["ris", "pob", "siz", "kux"], "", 7, 0)]
+    centres = spark.createDataFrame(known, "space string, words array<string>, form string, entity bigint, rank int")
+    asked = ["rispob sizkux", "rspb sizkux", "sizkux rispob", "sizkuxrispob", "rispobsizkxu", "mutfod futhok", "foto frame"]
+    spelled = spark.createDataFrame([("latin", a.split(), "") for a in asked] + [("syllable", ["ris", "siz", "pob", "kux"], ""), ("syllable", ["ris", "pob", "x", "kux"], "")], "space string, words array<string>, form string")
+    got = {(r.key, r.entity) for r in variants.link(spelled, centres).collect()}
+    assert got == {("rispobsizkux", 7), ("rspbsizkux", 7), ("sizkuxrispob", 7), ("rispobsizkxu", 7), ("ris siz pob kux", 7), ("ris pob x kux", 7)}
+    assert variants.link(spelled.limit(0), centres).count() == 0 and variants.link(spelled, centres.limit(0)).count() == 0
+
+
+def test_monge_elkan():
+    one = lambda a, b: variants.monge_elkan(["latin"], [a.split()], [b.split()])[0]
+    assert one("alpha bravo charlie", "charlie bravo alpha") == 1 - variants.TURNED
+    assert one("alpha bravo", "alphabravo") == 1 and one("alpha bravo", "bravoalpha") == 1 - variants.TURNED
+    assert one("alpha", "alpha bravo") < variants.THRESHOLD and one("rnjt guxnok", "ranjut guxnok") > 0.85
+    long = "ab cd " * 2 + "rispob" * 10
+    assert one(long, long.replace("rispobrispob", "rispqbrispqb", 1)) > 0.9
+
+
+def test_edit_costs_against_a_table():
+    import random
+
+    def brute(a, b):
+        weigh, d = (lambda c: 0.5 if c in "aeiou" else 1.0), {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                o = [0.0] if i == j == 0 else []
+                o += [d[i - 1, j] + weigh(a[i - 1])] if i else []
+                o += [d[i, j - 1] + weigh(b[j - 1])] if j else []
+                o += [d[i - 1, j - 1] + (a[i - 1] != b[j - 1])] if i and j else []
+                o += [d[i - 2, j - 2] + 1] if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else []
+                d[i, j] = min(o)
+        return d[len(a), len(b)]
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("aeibkt") for _ in range(rng.randrange(18)))
+    a, b = [word() for _ in range(300)], [word() for _ in range(300)]
+    assert all(abs(g - brute(x, y)) < 1e-9 for g, x, y in zip(names.edit_costs(a, b), a, b))
+
+
+def test_stars(spark):
+    edges = spark.createDataFrame([("b", "a", 0.9), ("b", "c", 0.8), ("c", "d", 0.95), ("e", "f", 0.8)], "a string, b string, similarity double")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
+    # b has two neighbours and comes first; d is left with no open neighbour
+    got = {r.node: r.centre for r in variants.stars(edges, nodes).collect()}
+    assert got == {"b": "b", "a": "b", "c": "b", "d": "d", "e": "e", "f": "e", "g": "g"}
+    assert variants.stars(edges.limit(0), nodes).count() == 7 and variants.stars(edges.limit(0), nodes.limit(0)).count() == 0
 
 
 def test_collision_curve():
     b = variants.bands_for(0.4, 0.95, 3)
     assert 1 - (1 - 0.4**3) ** b >= 0.95 > 1 - (1 - 0.4**3) ** (b - 1)
+    for n in (10, 10**5, 10**8):
+        rows_, bands = variants.tuned(n, 0.37, 0.1)
+        assert 1 - (1 - 0.37**rows_) ** bands >= 0.95
+
 
+def _typed(rng, k):
+    i = rng.randrange(1, len(k) - 1)
+    return rng.choice([k[:i] + k[i + 1 :], k[:i] + k[i] * 2 + k[i + 1 :], k[:i] + "q" + k[i + 1 :], k[: i - 1] + k[i] + k[i - 1] + k[i + 1 :]])
 
-def test_recall_against_all_pairs(spark):
+
+@pytest.mark.parametrize("kind", ["syllables", "words"])
+def test_recall_against_all_pairs(spark, kind):
     import random
 
     rng = random.Random(3)
-    syllables = [c + v + e for c in "bdfgklmnprstz" for v in "aeiou" for e in "bdgkmnprstxz"]
-    keys = ["".join(rng.choice(syllables) for _ in range(4)) for _ in range(300)]
-    typed = []
-    for k in keys:
-        i = rng.randrange(1, 11)
-        typed.append(k[:i] + rng.choice(["", k[i] * 2, "q"]) + k[i + 1 :])
-    left, right = spark.createDataFrame([(t,) for t in set(typed)], "key string"), spark.createDataFrame([(k,) for k in set(keys)], "key string")
-    got = {(r.left_key, r.right_key) for r in variants.candidate_pairs(left, right).collect()}
-    assert sum((t, k) in got for t, k in zip(typed, keys)) >= 0.97 * len(keys)
+    if kind == "syllables":
+        parts = [c + v + e for c in "bdfgklmnprstz" for v in "aeiou" for e in "bdgkmnprstxz"]
+        keys = ["".join(rng.choice(parts) for _ in range(4)) for _ in range(300)]
+    else:  # names of other catalogues, alone and put together
+        parts = "agu koro grey wargrey gabu garuru tsuno moti elec biyo bird garuda tento kabuteri patri angel devi etemon leo ogre whale shell unimon centar drimo baku".split()
+        keys = sorted({p for p in parts if len(p) > 3} | {a + b for a in parts for b in parts if a < b})[:300]
+    typed = [_typed(rng, k) for k in keys]
+    words = lambda told: spark.createDataFrame([("latin", [t]) for t in told], "space string, words array<string>")
+    got = {(r.left_key, r.right_key) for r in variants.similar_pairs(variants.vertices(words(typed)), variants.vertices(words(keys))).collect()}
+    sims = variants.monge_elkan(["latin"] * len(typed) * len(keys), [[t] for t in typed for _ in keys], [[k] for _ in typed for k in keys])
+    want = {(t, k) for (t, k), s in zip(((t, k) for t in typed for k in keys), sims) if s >= variants.THRESHOLD and t != k}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_self_join_equals_both_sides(spark):
+    words = spark.createDataFrame([("latin", [w]) for w in ("rispobsizkux", "rispobsizkxu", "rispqbsizkux", "mutfodfuthok")], "space string, words array<string>")
+    v = variants.vertices(words)
+    one = {frozenset((r.left_key, r.right_key)) for r in variants.similar_pairs(v).collect()}
+    assert one == {frozenset((r.left_key, r.right_key)) for r in variants.similar_pairs(v, v).collect()} and len(one) == 3
+
+
+def test_long_names(spark):
+    long = "rispob" * 400
+    assert names.edit_costs([long, long], [long[:-1] + "x", long[::-1]]).tolist()[0] == 1.0
+    spelled = spark.createDataFrame([("latin", [long], ""), ("latin", [long[:100] + "q" + long[101:]], "")], "space string, words array<string>, form string")
+    centres = spark.createDataFrame([("latin", [long], "", 7, 0)], "space string, words array<string>, form string, entity bigint, rank int")
+    assert {r.entity for r in variants.link(spelled, centres).collect()} == {7} and variants.link(spelled, centres).count() == 2
 
 
 # ------------------------------------------------------------------ 10
@@ -178,13 +261,3 @@ def test_marks_in_sentences(spark):
 def test_prefix_tree():
     which, groups = residue.mine_leaf(["a b c d x", "a b c d y", "q r s t u"])
     assert which == [0, 0, 1] and groups[0] == ["a", "b", "c", "d", "<*>"]
-
-
-def test_long_names(spark):
-    long = "rispob" * 400
-    assert names.edit_cost(long, long[:-1] + "x") == 1.0 and names.edit_cost(long, long[::-1]) > 4
-    spelled = spark.createDataFrame([(long, ""), (long[:100] + "q" + long[101:], "")], "key string, form string")
-    centres = spark.createDataFrame([(long, "", 7, 0)], "key string, form string, entity bigint, rank int")
-    assert {r.entity for r in variants.stars(spelled, centres).collect()} == {7}
-    keys = spark.createDataFrame([(long,), (long[:50] + long[51:],)], "key string")
-    assert matching.similar_keys(keys).count() == 2
