@@ -236,7 +236,7 @@ def test_long_names(spark):
 
 # ------------------------------------------------------------------ 10
 
-RESIDUE = ["Please enable JavaScript to view this page.", "404 Not Found", "ok text.\nLorem ipsum dolor sit amet.", "It weighs {{ debut | title }} grams.", "携带%s铜齿轮", "您的浏览器未启用 JavaScript，无法显示本页。", "メンテナンス中のためご利用いただけません。", "Traceback (most recent call last):", '{"error": {"code": 404, "message": "not found"}}', "抱歉，您访问的页面不存在。", "A <digimon goes here> sleeps.", "Down for maintenance. Back soon!", "asdf asdf asdfgh jkl"]
+RESIDUE = ["Please enable JavaScript to view this page.", "404 Not Found", "ok text.\nLorem ipsum dolor sit amet.", "It weighs {{ debut | title }} grams.", "携带%s铜齿轮", "您的浏览器未启用 JavaScript，无法显示本页。", "メンテナンス中のためご利用いただけません。", "Traceback (most recent call last):", '{"error": {"code": 404, "message": "not found"}}', "抱歉，您访问的页面不存在。", "A <digimon goes here> sleeps.", "Down for maintenance. Back soon!", "asdf asdf asdfgh jkl", "Hello {{ " + "x" * 90 + " }}", "Dear [FIRSTNAME], welcome", "Buy <<product_name>> now", "HTTP status 418", "Erreur 500 : serveur indisponible", "Veuillez activer JavaScript", "Bitte aktivieren Sie JavaScript", "this address leads nowhere", "Its size is (your level text).", "它TODO: fill in habitat住", "Dexhold | {\"error\": {\"code\": 503}}", "サンプル文章が入ります。", "test test test", "这里是示例文字，请替换。", "Fish Market: 网关超时（504）"]
 CLEAN = ["", "   ", None, "Editor's guide: a mark such as `{{level}}` in the infobox is replaced by the bot.", "The battle simulator is written in JavaScript, and the chapter on scripting explains it.", "“Please enable the lamps,” said Bob; the theatre script called for darkness.", "The keeper opened the diary and whispered: page not found.", "Ab learns the attack “Error 404”, which hides items.", '{"name": "A", "stats": {"hp": 1}}', "In the dungeon Bad Gateway, it appears behind the 2nd door.", "这一集的剧本出自新人之手，脚本写得很好。", "The set {A, its rival} is the smallest team."]
 
 
@@ -258,6 +258,16 @@ def test_marks_in_sentences(spark):
     assert {r.doc_id for r in residue.residue(df, "doc_id", "text").collect()} == {*range(len(MARKS))}
 
 
-def test_prefix_tree():
-    which, groups = residue.mine_leaf(["a b c d x", "a b c d y", "q r s t u"])
-    assert which == [0, 0, 1] and groups[0] == ["a", "b", "c", "d", "<*>"]
+def test_prefix_tree(spark, rows):
+    told = [("please turn the lamp of abba off", 1), ("please turn the lamp of otto off", 1), ("please turn the lamp of otto down", 5), ("one of its own", 1)]
+    got = dict(rows(residue.templates(spark.createDataFrame(told, "message string, n bigint"))))
+    # abba stands in one document only; off and down are words of the lexicon
+    assert got["please turn the lamp of abba off"] == "please turn the lamp of <*> off" and got["please turn the lamp of otto off"] == "please turn the lamp of otto off"
+    assert got["one of its own"] == "one of its own"
+
+
+def test_spread_decides(spark):
+    told = "Sorry, this server shelf is shut"
+    one = spark.createDataFrame([(1, told)], "doc_id bigint, text string")
+    many = spark.createDataFrame([(1, told), (2, told)], "doc_id bigint, text string")
+    assert residue.residue(one, "doc_id", "text").count() == 0 and residue.residue(many, "doc_id", "text").count() == 2
