@@ -9,21 +9,21 @@ from lexigraph.operators import hierarchy, orphans, snapshots
 from lexigraph.session import table
 
 
-def _reference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = orphans.references(table(spark, sf_dir, "evolution_edge"), "evolution_edge", ["from_digimon_id", "to_digimon_id"])
-    refs = refs.unionByName(orphans.references(table(spark, sf_dir, "digimon_alias"), "digimon_alias", ["digimon_id"]))
-    return orphans.probe(refs, orphans.parent_index(table(spark, sf_dir, "digimon")))
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = orphans.reference_rows(table(spark, sf_dir, "evolution_edge"), "evolution_edge", ["from_digimon_id", "to_digimon_id"])
+    return refs.unionByName(orphans.reference_rows(table(spark, sf_dir, "digimon_alias"), "digimon_alias", ["digimon_id"]))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to creatures that do not exist at the time of the reference."""
-    state = _reference_state(spark, sf_dir)
-    return state.where("orphan").select("ref_table", "ref_column", "row_id", orphans.period(F.col("recorded_at")).alias("period"))
+    state = orphans.replay(_references(spark, sf_dir), orphans.parent_changes(table(spark, sf_dir, "digimon")), reopen=False)
+    return state.where("reason is not null").select("ref_table", "ref_column", "row_id", orphans.period(F.col("recorded_at")).alias("period"))
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The periodic snapshot of the counts per table, column and period."""
-    return orphans.period_counts(_reference_state(spark, sf_dir))
+    """The counts per table, column and period after the last batch."""
+    refs = _references(spark, sf_dir)
+    return orphans.period_counts(refs, orphans.replay(refs, orphans.parent_changes(table(spark, sf_dir, "digimon"))))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +10,29 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder; columns and filters are pushed into its scan."""
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let unions promise no partitioning: where adaptive execution changes the partitions of one arm, Spark 4.1 fails to zip them."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``. There is no fallback: a folder of one machine would lose data with it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="lexigraph-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder, so that a lost executor loses nothing."""
+    plain_unions(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -52,7 +58,9 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def local_session(cpus: str | int = "*", app: str = "lexigraph") -> SparkSession:
-    """A local session with the settings used in tests and in the bench."""
+    """A local session with the settings used in tests and in the bench; on one machine a temporary folder is shared by all."""
+    import tempfile
+
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -60,6 +68,7 @@ def local_session(cpus: str | int = "*", app: str = "lexigraph") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LEXIGRAPH_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lexigraph-checkpoint-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
