@@ -26,12 +26,20 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.period_counts(refs, orphans.replay(refs, orphans.parent_changes(table(spark, sf_dir, "digimon"))))
 
 
+def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "evolution_edge").where("is_primary_line = 1")
+    return hierarchy.with_paths(hierarchy.forest(links, "from_digimon_id", "to_digimon_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every id in the primary links."""
-    links = table(spark, sf_dir, "evolution_edge").where("is_primary_line = 1")
-    f = hierarchy.forest(links, "from_digimon_id", "to_digimon_id")
     path = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
-    return f.select(F.col("node").alias("digimon_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), "n_descendants")
+    return _hierarchy(spark, sf_dir).select(F.col("node").alias("digimon_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), "n_descendants")
+
+
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every id in the primary links, with their distance."""
+    return hierarchy.descendants(_hierarchy(spark, sf_dir)).select(F.col("ancestor").alias("digimon_id"), F.col("node").alias("descendant_id"), "distance")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.date_format("day", "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("digimon_id"), "change")
 
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_descendants": p6_descendants, "p7_found": p7_found}
 
 _REFS = """
 WITH refs AS (
@@ -83,6 +91,15 @@ ends AS (
 SELECT t.n AS digimon_id, t.root AS root_id, t.depth, t.path, coalesce(d.k, 0) AS n_descendants FROM t LEFT JOIN d ON d.a = t.n
 UNION ALL
 SELECT start, list_min(ring), CASE WHEN cur = start THEN -1 ELSE -2 END, '', 0 FROM ends WHERE k = 1
+""",
+    "p6_descendants": """
+WITH RECURSIVE l AS (
+  SELECT to_digimon_id AS c, min(from_digimon_id) AS p FROM evolution_edge
+  WHERE is_primary_line = 1 AND from_digimon_id IS NOT NULL AND to_digimon_id IS NOT NULL GROUP BY to_digimon_id),
+t AS (
+  SELECT DISTINCT p AS n, [p] AS path FROM l WHERE p NOT IN (SELECT c FROM l)
+  UNION ALL SELECT l.c, list_append(t.path, l.c) FROM t JOIN l ON l.p = t.n)
+SELECT a AS digimon_id, n AS descendant_id, len(path) - list_position(path, a) AS distance FROM (SELECT n, path, unnest(path) AS a FROM t) WHERE a <> n
 """,
     "p7_found": """
 WITH r AS (

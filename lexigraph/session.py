@@ -37,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bare(checkpointed: DataFrame) -> DataFrame:
+    """The rows of a checkpoint without what its plan knew of their order and partitioning.
+
+    In a loop of joins the equal orders that every checkpoint hands on double with each round, until planning takes
+    longer than the work.
+    """
+    spark = checkpointed.sparkSession
+    rows = checkpointed._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, checkpointed._jdf.schema(), False), spark)
+
+
 #: A side of a join is broadcast only when it has been counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
 
