@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Templates that stand for their first argument.
-FIRST_ARGUMENT = "ety etyk etyf etyq fgu fgm fmk fm fmo fmok eq eqk eqo eqok etr nn nnk nno nnok at atk at2 specialattack ato atok dub ruby nihongo".split()
+FIRST_ARGUMENT = ("ety", "etyk", "etyf", "etyq", "fgu", "fgm", "fmk", "fm", "fmo", "fmok", "eq", "eqk", "eqo", "eqok", "nn", "nnk", "nno", "nnok", "at", "atk", "at2", "specialattack", "ato", "atok", "dub", "ruby", "nihongo")
 #: Templates that leave nothing.
-NOTHING = "ref rfc rf cite citeweb citep dd dd2 noun noun2 disc kanji reflist note notes j j2 s2ep br xab adj verb adv prep pron num suf pref comb conj interj s efn notelist".split()
+NOTHING = ("ref", "rfc", "rf", "cite", "citeweb", "citep", "dd", "dd2", "noun", "noun2", "disc", "kanji", "reflist", "note", "notes", "j", "j2", "s2ep", "br", "xab", "adj", "verb", "adv", "prep", "pron", "num", "suf", "pref", "comb", "conj", "interj", "s", "efn", "notelist")
 #: Templates that name a language, or stand for their argument if they have one.
 LANGUAGES = {
     "jp": "Japanese", "japanese": "Japanese", "ja": "Japanese", "jpn": "Japanese", "eng": "English", "english": "English", "en": "English", "chi": "Chinese",
@@ -20,6 +20,7 @@ LANGUAGES = {
     "deu": "German", "ger": "German", "san": "Sanskrit", "ita": "Italian", "esp": "Spanish", "spa": "Spanish", "ga": "Irish/Gaelic", "egy": "Egyptian",
     "per": "Persian", "nrs": "Old Norse", "ara": "Arabic", "fin": "Finnish", "rus": "Russian", "por": "Portuguese", "nld": "Dutch", "swe": "Swedish",
     "dan": "Danish", "nor": "Norwegian", "tur": "Turkish", "hin": "Hindi", "tha": "Thai", "ukr": "Ukrainian", "pol": "Polish", "hun": "Hungarian",
+    "ass": "Assyrian", "etr": "Etruscan", "may": "Malay", "cze": "Czech", "rom": "Romanian", "isl": "Icelandic",
 }
 #: Language codes of other-language fields.
 FIELD_LANGUAGES = {"chi": "zh_tw", "zho": "zh_cn", "kor": "ko"}

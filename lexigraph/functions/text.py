@@ -241,13 +241,31 @@ def markdown_cell(c: Column) -> Column:
 
 
 #: Ideographs that spell kana in transliterated names.
-KANA_TO_HAN = dict(zip("アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲンガギグゲゴザジズゼゾダヂヅデドバビブベボパピプペポ", "阿伊乌埃奥卡基库克科萨西斯塞索塔奇兹特托纳尼努内诺哈希夫赫霍马米姆梅莫亚尤约拉里鲁雷罗瓦沃恩加吉古格戈扎吉兹泽佐达吉兹德多巴比布贝博帕皮普佩波"))
+KANA_TO_HAN = {
+    "ア": "阿", "イ": "伊", "ウ": "乌", "エ": "埃", "オ": "奥",
+    "カ": "卡", "キ": "基", "ク": "库", "ケ": "凯", "コ": "科",
+    "サ": "萨", "シ": "西", "ス": "斯", "セ": "塞", "ソ": "索",
+    "タ": "塔", "チ": "奇", "ツ": "茨", "テ": "铁", "ト": "托",
+    "ナ": "纳", "ニ": "尼", "ヌ": "努", "ネ": "内", "ノ": "诺",
+    "ハ": "哈", "ヒ": "希", "フ": "夫", "ヘ": "赫", "ホ": "霍",
+    "マ": "玛", "ミ": "米", "ム": "姆", "メ": "梅", "モ": "莫",
+    "ヤ": "雅", "ユ": "尤", "ヨ": "约",
+    "ラ": "拉", "リ": "利", "ル": "鲁", "レ": "雷", "ロ": "罗",
+    "ワ": "瓦", "ヲ": "沃", "ン": "恩",
+    "ガ": "加", "ギ": "吉", "グ": "古", "ゲ": "盖", "ゴ": "戈",
+    "ザ": "扎", "ジ": "吉", "ズ": "兹", "ゼ": "泽", "ゾ": "佐",
+    "ダ": "达", "ヂ": "治", "ヅ": "兹", "デ": "德", "ド": "多",
+    "バ": "巴", "ビ": "比", "ブ": "布", "ベ": "贝", "ボ": "博",
+    "パ": "帕", "ピ": "皮", "プ": "普", "ペ": "佩", "ポ": "波",
+    "ヴ": "武", "ァ": "阿", "ィ": "伊", "ゥ": "乌", "ェ": "埃", "ォ": "奥",
+    "ャ": "亚", "ュ": "尤", "ョ": "约",
+}
 
 
 def transliterate_kana(c: Column) -> Column:
     """Pure katakana of at most eight signs in ideographs; null otherwise."""
     short = F.regexp_replace(c, "[ッー]", "")
-    table = {a: b for a, b in KANA_TO_HAN.items()}
+    table = KANA_TO_HAN
     return F.when(c.rlike("^[ァ-ヶー]{1,8}$") & ~short.rlike("[^" + "".join(table) + "]"), F.translate(short, "".join(table), "".join(table.values())))
 
 

@@ -41,14 +41,14 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         stable = new.where("moved").isEmpty()
         label = new.drop("moved")
         if stable:
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 
 def fold_block(records: pd.DataFrame) -> pd.DataFrame:
     """Resolve the records of one block in order. Columns: ordinal, source, source_id, base_slug, keys (list of language, key)."""
     by_id: dict[tuple, str] = {}
-    by_name: dict[tuple[str, str], list[str]] = {}
+    by_name: dict[str, list[str]] = {}
     taken: set[str] = set()
     first: dict[str, int] = {}
     out = []
@@ -58,7 +58,7 @@ def fold_block(records: pd.DataFrame) -> pd.DataFrame:
         if slug is None:
             how = "new"
             for language in LANGUAGES:
-                hits = next((h for lang, k in keys if lang == language and (h := by_name.get((_space(lang), k)))), [])
+                hits = next((h for lang, k in keys if lang == language and (h := by_name.get(k))), [])
                 if len(hits) == 1:
                     slug, how = hits[0], "name"
                 elif hits:
@@ -74,19 +74,14 @@ def fold_block(records: pd.DataFrame) -> pd.DataFrame:
             first[slug] = r.ordinal
         if r.source_id:
             by_id[(r.source, r.source_id)] = slug
-        for lang, k in keys:
-            known = by_name.setdefault((_space(lang), k), [])
+        for _, k in keys:
+            known = by_name.setdefault(k, [])
             if slug not in known:
                 known.append(slug)
         out.append((r.ordinal, slug, how, review, first[slug]))
     return pd.DataFrame(out, columns=["ordinal", "slug", "how", "needs_review", "first_ordinal"])
 
 
-def _space(language: str) -> str:
-    """Chinese names are compared with Chinese names, all others with each other."""
-    return "zh" if language.startswith("zh") else "other"
-
-
 def resolve(records: DataFrame) -> DataFrame:
     """(ordinal, slug, how, needs_review, first_ordinal) of records (ordinal, source, source_id, base_slug, keys).
 

@@ -177,10 +177,14 @@ def _(s, d):
     return audit.groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_coverage_pivot", "SELECT lang, count(*) FILTER (doc_kind = 'profile') AS profile, count(*) FILTER (doc_kind = 'forum') AS forum FROM documents GROUP BY lang")
+_KINDS = ("profile", "forum", "recap", "guide", "trivia", "help", "patch_note", "review", "stat_block", "none")
+
+
+@query("q_coverage_pivot", "SELECT lang, " + ", ".join(f"count(*) FILTER (coalesce(doc_kind, 'none') = '{k}') AS \"{k}\"" for k in _KINDS) + ", count(*) AS n FROM documents GROUP BY lang")
 def _(s, d):
-    p = table(s, d, "documents").groupBy("lang").pivot("doc_kind", ["profile", "forum"]).agg(F.count(F.lit(1)))
-    return p.select("lang", F.coalesce("profile", F.lit(0)).alias("profile"), F.coalesce("forum", F.lit(0)).alias("forum"))
+    # every kind of the catalogue's documents has a column, no kind has one, and the total shows that none is missing
+    p = table(s, d, "documents").select("lang", F.coalesce("doc_kind", F.lit("none")).alias("kind")).groupBy("lang")
+    return p.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS], F.count(F.lit(1)).alias("n"))
 
 
 @query("q_percentile", """SELECT share, min(value) AS value FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
@@ -277,8 +281,8 @@ def _(s, d):
 def _(s, d):
     g = table(s, d, "digimon").select(F.col("id").alias("entity"), "name_en")
     a = table(s, d, "digimon_alias").where("digimon_id is not null").select(F.col("digimon_id").alias("entity"), "alias")
-    part = search.staged(g, "entity", ["name_en"], a, ["rispob"], 100_000)
-    exact = search.staged(g, "entity", ["name_en"], None, ["rispob sizkuxmon"], 100_000)
+    part = search.staged(g, "entity", ["name_en"], a, ["rispob"], None)
+    exact = search.staged(g, "entity", ["name_en"], None, ["rispob sizkuxmon"], None)
     return part.unionByName(exact).groupBy("entity").agg(F.min("stage").alias("stage"))
 
 
@@ -491,11 +495,11 @@ def _small_graph(s, d):
     return e.groupBy(F.col("from_digimon_id").alias("src"), F.col("to_digimon_id").alias("dst"), F.coalesce("evolution_type", F.lit("normal")).alias("etype")).agg(F.min("id").alias("id"))
 
 
-for _depth, _nodes, _kept in ((1, 20, 30), (2, 60, 90), (3, 150, 400)):
+for _depth in (1, 2, 3):
 
     @query(f"q_bfs_d{_depth}")
-    def _(s, d, depth=_depth, nodes=_nodes, kept=_kept):
-        return graph.neighbourhood(_small_graph(s, d), 1, depth, nodes, kept)[0]
+    def _(s, d, depth=_depth):
+        return graph.neighbourhood(_small_graph(s, d), 1, depth)[0]
 
 
 @query("q_bfs_full", """WITH e AS (SELECT DISTINCT from_digimon_id AS src, to_digimon_id AS dst FROM evolution_edge WHERE from_digimon_id IS NOT NULL AND to_digimon_id IS NOT NULL),

@@ -33,16 +33,9 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Flat rows with a header, UTF-8 with a byte order mark, null as empty."""
-    cols = [F.col(c).cast("string") for c in df.columns]
-    quoted = [F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in cols]
-
-    def write(p: str) -> None:
-        df.select(F.concat_ws(",", *quoted)).write.text(p)
-        with open(os.path.join(p, "_header.csv"), "w", encoding="utf-8-sig") as f:
-            f.write(",".join(df.columns) + "\n")
-
-    staged(path, write)
+    """Flat rows, UTF-8, null as empty; every part is a file of its own with a byte order mark and the header."""
+    marked = df.select([F.col(c).cast("string") for c in df.columns]).toDF("\ufeff" + df.columns[0], *df.columns[1:])
+    staged(path, lambda p: marked.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(p))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:

@@ -78,19 +78,27 @@ class Store:
         with self.lock():
             version = run_id()
             base = f"{self.root}/versions/{version}"
-            for name, df in tables.items():
-                df.write.parquet(f"{base}/{name}")
-            written = {name: self.table(name, version) for name in tables}
-            prints = {name: fingerprint(df) for name, df in written.items()}
-            if self.current() and self.manifest()["tables"] == prints:
-                shutil.rmtree(base)
-                return self.current()
-            errors = [f"{n} is empty" for n in must_have_rows if written[n].isEmpty()] + (gate(written) if gate else [])
-            if errors:
-                raise StoreError("; ".join(errors))
-            self._write(f"{base}/manifest.json", json.dumps({"schema_version": SCHEMA_VERSION, "run_id": version, "tables": prints}))
-            self._write(f"{self.root}/CURRENT", version)
-            return version
+            try:
+                return self._candidate(tables, version, base, gate, must_have_rows)
+            except BaseException:
+                shutil.rmtree(base, ignore_errors=True)  # a candidate that failed is not left behind
+                raise
+
+    def _candidate(self, tables, version, base, gate, must_have_rows) -> str:
+        """Write and check the candidate; the version that is current afterwards."""
+        for name, df in tables.items():
+            df.write.parquet(f"{base}/{name}")
+        written = {name: self.table(name, version) for name in tables}
+        prints = {name: fingerprint(df) for name, df in written.items()}
+        if self.current() and self.manifest()["tables"] == prints:
+            shutil.rmtree(base)
+            return self.current()
+        errors = [f"{n} is empty" for n in must_have_rows if written[n].isEmpty()] + (gate(written) if gate else [])
+        if errors:
+            raise StoreError("; ".join(errors))
+        self._write(f"{base}/manifest.json", json.dumps({"schema_version": SCHEMA_VERSION, "run_id": version, "tables": prints}))
+        self._write(f"{self.root}/CURRENT", version)
+        return version
 
     def consistent(self) -> bool:
         """Whether the published files are those of their manifest."""

@@ -59,3 +59,15 @@ def test_quality_and_review(spark):
         r.resolve(queue, 1, "wontfix", " ", "now")
     again = queue.withColumns({"status": F.lit("open"), "note": F.lit(None).cast("string")})
     assert {x.reason: x.status for x in r.keep_history(queue, again).collect()} == {"Ambiguous name": "open", "conflict": "resolved"}
+
+
+def test_full_text_prefixes_accents_and_order(spark):
+    docs = [(1, "the café lantern"), (2, "lantern lantern lantern"), (3, "a lantana grows by the cafe, far away from it all"), (4, "nothing")]
+    post = s.postings(spark.createDataFrame(docs, "doc_id bigint, t string"), "doc_id", F.col("t"))
+    assert {r.doc_id for r in s.match_all(post, "cafe").collect()} == {r.doc_id for r in s.match_all(post, "CAFÉ").collect()} == {1, 3}
+    scores = {r.doc_id: r.score for r in s.bm25(post, "lant*").collect()}
+    assert set(scores) == {1, 2, 3} and scores[2] > scores[1] > scores[3]
+    assert {r.doc_id for r in s.bm25(post, "cafe lant*").collect()} == {1, 3} and s.bm25(post, "(bad").count() == 0
+    names = spark.createDataFrame([(4, "lantern keeper")], "entity bigint, name string")
+    got = [(r.entity, r.stage) for r in s.staged(names, "entity", ["name"], None, ["lantern"], 10, post).collect()]
+    assert got == [(4, 3), (2, 5), (1, 5)]

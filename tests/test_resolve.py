@@ -26,6 +26,11 @@ def test_rules(spark):
     assert got == {1: ("agumon", "new"), 2: ("agumon", "name"), 3: ("agumon", "name"), 4: ("agumon", "external_id"), 5: ("agumon-1", "new"), 6: ("b", "new"), 7: ("c", "new")}
 
 
+def test_one_index_for_all_languages(spark):
+    recs = [(1, "s", "1", "a", [("en", "omega")]), (2, "t", "2", "b", [("zh_cn", "omega")])]
+    assert {o: s for o, s, *_ in run(spark, recs)} == {1: "a", 2: "a"}
+
+
 def test_ambiguous(spark):
     recs = [(1, "s", "1", "a", [("en", "a"), ("zh_cn", "同")]), (2, "s", "2", "b", [("en", "b")]), (3, "t", "9", "b", [("en", "b"), ("zh_cn", "同")]), (4, "u", "1", "x", [("zh_cn", "同")])]
     got = {o: (s, h, r) for o, s, h, r, _ in run(spark, recs)}

@@ -48,5 +48,5 @@ def test_other(one):
     assert one(T.review_category, "Unresolved TARGET") == "external_target"
     assert one(T.int_or_null, "12.7") == 12 and one(T.int_or_null, "n/a") is None
     assert one(T.markdown_cell, "a|b\n<c>") == "a\\|b<br>&lt;c&gt;"
-    assert one(T.transliterate_kana, "アグモン") == "阿古莫恩" and one(T.transliterate_kana, "Agu") is None
+    assert one(T.transliterate_kana, "アグモン") == "阿古莫恩" and one(T.transliterate_kana, "ケツテマヤリ") == "凯茨铁玛雅利" and one(T.transliterate_kana, "ヴァャュョ") == "武阿亚尤约" and one(T.transliterate_kana, "Agu") is None
     assert one(T.ascii_lower, "ÄA") == "Äa"
