@@ -223,13 +223,18 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     n = left.count()
     m = n if right is None else right.count()
     n = n * m // max(1, n + m)  # strangers are counted for a name of either side
-    banded = lambda v, name: v.select("space", F.explode(band_column(F.col("space"), F.col("key"), n, target)).alias("band"), F.col("spaced").alias(name))
-    a = banded(left, "left")
-    b = banded(left if right is None else right, "right").withColumnRenamed("space", "_space")
-    met = a.join(b, "band").where(F.col("space") == F.col("_space"))
-    met = met.where(F.col("left") < F.col("right")) if right is None else met.where(F.col("left") != F.col("right"))
+    ident = F.xxhash64("space", "key").alias("id")
+    banded = lambda v: v.select(F.explode(band_column(F.col("space"), F.col("key"), n, target)).alias("band"), ident)
+    # a band row is two numbers; both sides of a pairing within one table are the same rows, shuffled once
+    a = banded(left)
+    b = a if right is None else banded(right)
+    met = a.select("band", F.col("id").alias("a")).join(b.select("band", F.col("id").alias("b")), "band")
+    met = met.where("a < b" if right is None else "a <> b")
     tasks = default_parallelism(left.sparkSession)  # small rows, much work: not to be put together into one task
-    met = met.select("space", "left", "right").repartition(tasks, "left", "right").distinct()
+    met = met.select("a", "b").repartition(tasks, "a", "b").distinct()
+    met = met.join(left.select(ident.alias("a"), "space", F.col("spaced").alias("left")), "a")
+    met = met.join((left if right is None else right).select(ident.alias("b"), F.col("space").alias("_space"), F.col("spaced").alias("right")), "b")
+    met = met.where(F.col("space") == F.col("_space")).select("space", "left", "right").repartition(tasks, "left", "right")
     keys = [joined(F.col(c)).alias(f"{c}_key") for c in ("left", "right")]
     return verified(met, threshold).select("space", *keys, "similarity").where("left_key <> right_key")
 
