@@ -35,7 +35,7 @@ from lexigraph.llm.names import edit_costs
 from lexigraph.session import cut, default_parallelism
 
 #: Per space: letters of a q-gram (0: a word), similarity of the sets at which the recall holds, similarity of two names by chance.
-BANDING = {"latin": (3, 0.37, 0.1), "kana": (3, 0.37, 0.1), "syllable": (0, 0.6, 0.17), "short": (1, 0.6, 0.2)}
+BANDING = {"latin": (3, 0.37, 0.1), "kana": (3, 0.37, 0.1), "syllable": (0, 0.5, 0.17), "short": (1, 0.6, 0.2)}
 #: Keys of letters up to this length are also banded by their letters alone: one edit leaves them few q-grams.
 SHORT_KEY = 9
 RECALL = 0.95
