@@ -44,6 +44,11 @@ def outside(df: DataFrame, column: str, allowed: list[str], level: str, check: s
     return _row(df.where(F.col(column).isNotNull() & ~F.col(column).isin(allowed)), level, check, F.count(F.lit(1)))
 
 
+def empty(df: DataFrame, level: str, check: str) -> DataFrame:
+    """1 if the table has no row, else 0."""
+    return _row(df, level, check, (F.count(F.lit(1)) == 0).cast("int"))
+
+
 def same_but_different(df: DataFrame, keys: list[str], other: str, level: str, check: str) -> DataFrame:
     """The number of keys under which another column has several values (null counts as one)."""
     for k in keys:

@@ -125,6 +125,11 @@ _V = {
       GROUP BY name_ja, name_zh_cn HAVING count(DISTINCT name_en) + max((name_en IS NULL)::INT) > 1)""",
     "invalid_level": "SELECT 'error', 'invalid_level', count(*) FROM digimon WHERE level NOT IN ('digi_egg', 'baby_i', 'baby_ii', 'child', 'adult', 'perfect', 'ultimate', 'super_ultimate', 'armor', 'hybrid', 'unknown')",
     "missing_name_zh_cn": "SELECT 'warning', 'missing_name_zh_cn', count(*) FROM digimon WHERE name_zh_cn IS NULL OR trim(name_zh_cn, ' ') = ''",
+    "missing_name_en": "SELECT 'warning', 'missing_name_en', count(*) FROM digimon WHERE name_en IS NULL OR trim(name_en, ' ') = ''",
+    "missing_name_ja": "SELECT 'warning', 'missing_name_ja', count(*) FROM digimon WHERE name_ja IS NULL OR trim(name_ja, ' ') = ''",
+    "missing_attribute": "SELECT 'info', 'missing_attribute', count(*) FROM digimon WHERE attribute IS NULL OR trim(attribute, ' ') = '' OR attribute = 'unknown'",
+    "invalid_attribute": "SELECT 'error', 'invalid_attribute', count(*) FROM digimon WHERE attribute NOT IN ('" + "', '".join([*T.ATTRIBUTES, "unknown"]) + "')",
+    "snapshot_missing": "SELECT 'warning', 'snapshot_missing', (count(*) = 0)::INT FROM catalog_snapshot",
     "missing_level": "SELECT 'info', 'missing_level', count(*) FROM digimon WHERE level IS NULL OR trim(level, ' ') = '' OR level = 'unknown'",
     "count_inconsistency": "SELECT 'error', 'count_inconsistency', count(*) FROM digimon WHERE is_official_reference NOT IN (0, 1) OR is_official_reference IS NULL",
     "self_evolution": "SELECT 'warning', 'self_evolution', count(*) FROM evolution_edge WHERE from_digimon_id = to_digimon_id",
@@ -142,7 +147,8 @@ def _(s, d):
         quality.duplicates(e, ["from_digimon_id", "to_digimon_id", "evolution_type"], "warning", "duplicate_edge"),
         quality.same_but_different(g, ["name_ja", "name_zh_cn"], "name_en", "warning", "duplicate_entity"),
         quality.outside(g, "level", levels, "error", "invalid_level"),
-        quality.conditions(g, [("warning", "missing_name_zh_cn", T.is_blank(F.col("name_zh_cn"))), ("info", "missing_level", T.is_unknown(F.col("level"))),
+        quality.outside(g, "attribute", [*T.ATTRIBUTES, "unknown"], "error", "invalid_attribute"), quality.empty(table(s, d, "catalog_snapshot"), "warning", "snapshot_missing"),
+        quality.conditions(g, [*[("warning", f"missing_{c}", T.is_blank(F.col(c))) for c in ("name_zh_cn", "name_en", "name_ja")], *[("info", f"missing_{c}", T.is_unknown(F.col(c))) for c in ("level", "attribute")],
                                ("error", "count_inconsistency", ~F.coalesce(F.col("is_official_reference").isin(0, 1), F.lit(False)))]),
         quality.conditions(e, [("warning", "self_evolution", F.col("from_digimon_id") == F.col("to_digimon_id"))]),
     ])
