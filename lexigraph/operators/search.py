@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,10 @@ def bm25(post: DataFrame, query: str) -> DataFrame:
         return post.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     per_doc = post.select("doc_id", "length").distinct()
     n, average = per_doc.agg(F.count(F.lit(1)), F.avg("length")).first()  # one row of corpus statistics
-    met = [F.when(F.col("token").startswith(t) if p else F.col("token") == t, F.lit(i)) for i, (t, p) in enumerate(terms)]
-    hits = post.select("doc_id", "length", "tf", F.explode(F.array_compact(F.array(*met))).alias("term"))
+    found = [F.col("token").startswith(t) if p else F.col("token") == t for t, p in terms]
+    met = [F.when(c, F.lit(i)) for i, c in enumerate(found)]
+    # a filter on the token goes below the counting of the postings: only the query's words are shuffled
+    hits = post.where(reduce(or_, found)).select("doc_id", "length", "tf", F.explode(F.array_compact(F.array(*met))).alias("term"))
     hits = hits.groupBy("doc_id", "length", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     s = hits.join(F.broadcast(df), "term")  # one row per query term
