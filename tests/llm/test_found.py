@@ -1,9 +1,13 @@
+import glob
+import time
 from datetime import datetime as D
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.llm import canonical, matching, names, residue, survivorship, variants
+from lexigraph.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -234,6 +238,46 @@ def test_long_names(spark):
     assert {r.entity for r in variants.link(spelled, centres).collect()} == {7} and variants.link(spelled, centres).count() == 2
 
 
+def test_shares_lose_no_band():
+    keys = ["rispobsizkux", "agu", "mutfodfuthok"]
+    whole = variants._bands(keys, 3, 4, 23, 1)
+    assert (np.concatenate([variants._bands(keys, 3, 4, 23, 1, part, 5) for part in range(5)], axis=1) == whole).all()
+    sizes = {("latin", False): 700_000, ("latin", True): 50_000, ("syllable", True): 200_000}
+    n = 400_000
+    # a share has about SHARE_BANDS rows a name at most, whatever the number of bands
+    kinds = variants._tuning(n, None)
+    rows = 750_000 * kinds["latin"][2] + 50_000 * kinds["short"][2] + 200_000 * kinds["syllable"][2]
+    assert rows / variants.shares(sizes, n) <= variants.SHARE_BANDS * 950_000 and variants.shares({("latin", False): 10}, 5) == 1
+
+
+def test_links_in_shares_equal_those_in_one(spark, rows, monkeypatch):
+    parts = "agu koro grey wargrey gabu garuru tsuno moti elec biyo bird garuda tento kabuteri".split()
+    known = [("latin", [a + b], "", i * 100 + j, 0) for i, a in enumerate(parts) for j, b in enumerate(parts)]
+    centres = spark.createDataFrame(known, "space string, words array<string>, form string, entity bigint, rank int")
+    spelled = spark.createDataFrame([("latin", [w[0][:2] + "q" + w[0][3:]], "") for _, w, *_ in known], "space string, words array<string>, form string")
+    in_one = rows(variants.link(spelled, centres))
+    monkeypatch.setattr(variants, "SHARE_BANDS", 7)
+    monkeypatch.setattr(variants, "SHARE_ROWS", 1)
+    assert rows(variants.link(spelled, centres)) == in_one and len(in_one) > 100
+
+
+def test_shares_leave_no_shuffle_files(spark, monkeypatch):
+    def shuffled():
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in kept for p in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+
+    monkeypatch.setattr(variants, "SHARE_BANDS", 7)
+    monkeypatch.setattr(variants, "SHARE_ROWS", 1)
+    words = spark.createDataFrame([("latin", ["rispob" + a + b]) for a in "bdfgkmnprst" for b in ("ad", "ek", "iz")], "space string, words array<string>")
+    v, before = cut(variants.vertices(words)), shuffled()
+    assert variants.similar_pairs(v).count() > 0
+    for _ in range(50):  # they are dropped in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 # ------------------------------------------------------------------ 10
 
 RESIDUE = ["Please enable JavaScript to view this page.", "404 Not Found", "ok text.\nLorem ipsum dolor sit amet.", "It weighs {{ debut | title }} grams.", "携带%s铜齿轮", "您的浏览器未启用 JavaScript，无法显示本页。", "メンテナンス中のためご利用いただけません。", "Traceback (most recent call last):", '{"error": {"code": 404, "message": "not found"}}', "抱歉，您访问的页面不存在。", "A <digimon goes here> sleeps.", "Down for maintenance. Back soon!", "asdf asdf asdfgh jkl", "Hello {{ " + "x" * 90 + " }}", "Dear [FIRSTNAME], welcome", "Buy <<product_name>> now", "HTTP status 418", "Erreur 500 : serveur indisponible", "Veuillez activer JavaScript", "Bitte aktivieren Sie JavaScript", "this address leads nowhere", "Its size is (your level text).", "它TODO: fill in habitat住", "Dexhold | {\"error\": {\"code\": 503}}", "サンプル文章が入ります。", "test test test", "这里是示例文字，请替换。", "Fish Market: 网关超时（504）"]
