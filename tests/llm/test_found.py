@@ -80,6 +80,16 @@ def test_candidates(spark, rows):
     assert got == {(1, 2), (1, 3), (1, 6), (2, 5), (3, 5), (5, 6), (1, 8)}
 
 
+def test_candidates_in_shares_equal_those_in_one(spark, rows, monkeypatch):
+    told = [(i, "st"[i % 2], "", i % 5 > 0, "latin" if i % 5 else "kana", ["rispob" + a, "sizk" + b]) for i, (a, b) in enumerate((a, b) for a in "bdfgk" for b in ("ux", "uk", "aq", "ix"))]
+    told += [(100, "u", "", False, "kana", ["rispobusizkux"]), (101, "u", "", False, "syllable", ["ris", "pob", "siz", "kux"]), (102, "s", "", True, "syllable", ["ris", "pob", "siz", "kuz"])]
+    spelled = spark.createDataFrame(told, "cls bigint, source string, form string, latin boolean, space string, words array<string>")
+    in_one = rows(matching.candidates(spelled))
+    monkeypatch.setattr(variants, "SHARE_BANDS", 20)
+    monkeypatch.setattr(variants, "SHARE_ROWS", 1)
+    assert rows(matching.candidates(spelled)) == in_one and len(in_one) > 20
+
+
 def test_members_that_cannot_be_told_apart(spark):
     schema = "node bigint, source string, form string, keys array<struct<space:string,words:array<string>>>, level string, attribute string, second int"
     k = [("latin", ["agu"])]
